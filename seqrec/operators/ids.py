@@ -36,24 +36,28 @@ def first_seen(keys: DataFrame) -> DataFrame:
     )
 
 
-def assign_ids(keys: DataFrame, lookup: DataFrame | None = None, *,
-               hot_rows: int = skew.HOT_ROWS) -> DataFrame:
-    """Lookup with dense ids in order of first appearance.
+def new_ids(keys: DataFrame, lookup: DataFrame | None = None, *,
+            hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+    """Ids of the keys that are not in ``lookup``, in order of first appearance.
 
-    Ids of an existing ``lookup`` are kept; new keys continue after its
-    largest id. Returns the complete new version.
+    They start after the largest id of the lookup, at 0 without one.
     """
     seen = first_seen(keys).drop("n_rows")
-    if lookup is None:
-        new, base = seen, F.lit(0)
-    else:
+    base = F.lit(0)
+    if lookup is not None:
         # both sides hold one row per key
-        new = seen.join(lookup.select("key"), "key", "left_anti")
+        seen = seen.join(lookup.select("key"), "key", "left_anti")
         largest = lookup.agg(F.coalesce(F.max("normalized_id"), F.lit(-1)).alias("largest"))
         base = largest.scalar() + F.lit(1)
-    numbered = skew.number_rows(new, [], ["first"], "_nth", hot_rows=hot_rows)
-    fresh = numbered.select((F.col("_nth") + base).cast("long").alias("normalized_id"),
-                            "original_id", "key")
+    numbered = skew.number_rows(seen, [], ["first"], "_nth", hot_rows=hot_rows)
+    return numbered.select((F.col("_nth") + base).cast("long").alias("normalized_id"),
+                           "original_id", "key")
+
+
+def assign_ids(keys: DataFrame, lookup: DataFrame | None = None, *,
+               hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+    """The complete new version of a lookup: existing ids are kept, new keys follow."""
+    fresh = new_ids(keys, lookup, hot_rows=hot_rows)
     return fresh if lookup is None else lookup.select(*LOOKUP_COLUMNS).unionByName(fresh)
 
 

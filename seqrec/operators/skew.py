@@ -5,6 +5,10 @@ one pre-aggregated count and a top-n, so what is broadcast has at most
 ``max_keys`` rows whatever the size of the data. And a group with more rows
 than ``hot_rows`` is split at sampled boundaries of its sort order, so no
 window ever holds a hot group in one task.
+
+Small inputs take the plain way, and smallness is checked: a table is joined
+by broadcast below Spark's own broadcast threshold, and a window is left whole
+when its input is no larger than one input split.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqrec.session import conf_bytes, plan_bytes
+
 MAX_HOT_KEYS = 1024
 HOT_ROWS = 1_000_000
 MAX_BUCKETS = 1024
@@ -37,15 +43,28 @@ def heavy_keys(counts: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS,
     )
 
 
+def is_broadcastable(df: DataFrame) -> bool:
+    """Whether the estimated size is within the broadcast threshold of the session."""
+    limit = conf_bytes(df.sparkSession, "spark.sql.autoBroadcastJoinThreshold", 10 * 1024 * 1024)
+    return plan_bytes(df) <= limit
+
+
+def is_one_split(df: DataFrame) -> bool:
+    """Whether the estimated size is that of a single input split at most."""
+    limit = conf_bytes(df.sparkSession, "spark.sql.files.maxPartitionBytes", 128 * 1024 * 1024)
+    return plan_bytes(df) <= limit
+
+
 def spread_join(facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "inner", *,
                 counts: DataFrame | None = None, hot_rows: int = HOT_ROWS,
                 spread: int = 256) -> DataFrame:
     """Join facts with a table that is unique on ``keys``, hot keys included.
 
-    Rows of heavy keys are answered from a broadcast of at most
-    ``MAX_HOT_KEYS`` rows. They keep a null join key and a salt in the
-    shuffled join, so they spread evenly over its tasks; all other rows join
-    there as usual. ``counts`` may give known rows per key of the facts.
+    A table below the broadcast threshold is broadcast. Otherwise the rows of
+    heavy keys are answered from a broadcast of at most ``MAX_HOT_KEYS`` rows.
+    They keep a null join key and a salt in the shuffled join, so they spread
+    evenly over its tasks; all other rows join there as usual. ``counts`` may
+    give known rows per key of the facts.
 
     ``how``: inner, left, left_semi or left_anti.
     """
@@ -59,6 +78,9 @@ def spread_join(facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
 
+    if is_broadcastable(dim):
+        return facts.join(F.broadcast(dim), keys, how).select(*facts.columns, *payload)
+
     if counts is None:
         counts = key_counts(facts, keys)
     heavy = heavy_keys(counts, keys, hot_rows).select(*keys)
@@ -117,6 +139,9 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str],
     """
     order, plain = list(order), list(df.columns)
     keys = list(group)
+    if is_one_split(df):
+        whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.select(*plain, *[F.sum(v).over(whole).alias(n) for n, v in totals.items()])
     if not keys:
         df, keys, counts = df.withColumn("_all", F.lit(0)), ["_all"], None
     if counts is None:

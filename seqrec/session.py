@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,12 +14,11 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make sure ``checkpoint()`` writes to the folder the cluster names.
+    """Make sure intermediate tables go to the folder the cluster names.
 
     A folder of our own is set in local mode only; a cluster without
     ``spark.checkpoint.dir`` is refused, because a machine-local folder would
@@ -35,6 +36,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
+
+    Unlike a checkpointed row set, the table keeps column pruning and has a
+    known size, by which Spark and the operators choose their joins.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Upper estimate of the size of ``df`` by the optimizer, known before it runs."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(stats.sizeInBytes()))
+
+
+def conf_bytes(spark: SparkSession, key: str, default: int) -> int:
+    """A size setting such as 10485760b, 10MB or -1, in bytes."""
+    text = str(spark.conf.get(key, str(default))).strip().lower()
+    match = re.fullmatch(r"(-?\d+)\s*([kmgt]?)i?b?", text)
+    if match is None:
+        return default
+    return int(match[1]) * 1024 ** " kmgt".index(match[2] or " ")

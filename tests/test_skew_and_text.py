@@ -19,9 +19,21 @@ def facts(spark):
     return spark.createDataFrame(ROWS, "user string, ts long, ord long, v long").repartition(5)
 
 
+@pytest.fixture
+def no_shortcuts(spark):
+    """Sizes that make every table count as large."""
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes"]
+    old = [spark.conf.get(k) for k in keys]
+    spark.conf.set(keys[0], "-1")
+    spark.conf.set(keys[1], "1")
+    yield
+    for key, value in zip(keys, old):
+        spark.conf.set(key, value)
+
+
 @pytest.mark.parametrize("hot_rows", [30, 10**6])
 @pytest.mark.parametrize("group", [["user"], []])
-def test_running_totals_equal_a_loop(facts, hot_rows, group):
+def test_running_totals_equal_a_loop(facts, no_shortcuts, hot_rows, group):
     got = skew.running_totals(facts, group, ["ts", "ord"], {"n": F.lit(1), "s": F.col("v")},
                               hot_rows=hot_rows).collect()
     seen, expected = {}, {}
@@ -32,7 +44,15 @@ def test_running_totals_equal_a_loop(facts, hot_rows, group):
     assert {r["ord"]: (r["n"], r["s"]) for r in got} == expected
 
 
-def test_hot_group_is_cut_into_ranges(facts):
+def test_small_tables_take_the_plain_way(spark, facts):
+    total = skew.running_totals(facts, ["user"], ["ts", "ord"], {"n": F.lit(1)})
+    assert "_bucket" not in total._jdf.queryExecution().toString()
+    dim = spark.createDataFrame([("hot", 1)], "user string, w long")
+    joined = skew.spread_join(facts, dim, ["user"])
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_group_is_cut_into_ranges(facts, no_shortcuts):
     """A hot group may not stay in one window partition."""
     plan = skew.running_totals(facts, ["user"], ["ts", "ord"], {"n": F.lit(1)}, hot_rows=30)
     assert "_bucket" in plan._jdf.queryExecution().toString()
@@ -40,7 +60,7 @@ def test_hot_group_is_cut_into_ranges(facts):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("hot_rows", [50, 10**6])
-def test_spread_join_equals_plain_join(spark, facts, how, hot_rows):
+def test_spread_join_equals_plain_join(spark, facts, no_shortcuts, how, hot_rows):
     dim = spark.createDataFrame([("hot", 1), *[(f"u{i}", i) for i in range(0, 60, 2)]],
                                 "user string, w long")
     got = skew.spread_join(facts, dim, ["user"], how, hot_rows=hot_rows)
@@ -48,7 +68,7 @@ def test_spread_join_equals_plain_join(spark, facts, how, hot_rows):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
-def test_spread_join_keeps_null_keys_of_the_left_side(spark):
+def test_spread_join_keeps_null_keys_of_the_left_side(spark, no_shortcuts):
     left = spark.createDataFrame([(None, 1), ("a", 2)], "k string, v int")
     right = spark.createDataFrame([("a", 5)], "k string, w int")
     got = skew.spread_join(left, right, ["k"], "left", hot_rows=0).collect()
