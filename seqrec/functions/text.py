@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -31,17 +32,37 @@ def _folds_beyond_lower() -> dict[str, str]:
     }
 
 
-def casefold(text: Column) -> Column:
-    """Full Unicode case folding: ``lower`` plus the folds that it leaves out."""
+def _character_class(characters: Iterable[str]) -> str:
+    """Regular expression class of the characters, neighbours joined to ranges."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, characters)):
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]"
+
+
+@lru_cache(maxsize=1)
+def _fold_table() -> tuple[str, str]:
+    """Class of the special characters, and the SQL of the map that folds them."""
     folds = _folds_beyond_lower()
+    return _character_class(folds), "map(" + ", ".join(f"'{a}', '{b}'" for a, b in folds.items()) + ")"
+
+
+def casefold(text: Column) -> Column:
+    """Full Unicode case folding: ``lower`` plus the folds that it leaves out.
+
+    ASCII text only pays for ``lower`` and one scan. Other text is cut at the
+    special characters, and each of those is looked up.
+    """
+    special, table = _fold_table()
     lowered = F.lower(text)
-    special = "[" + "".join(folds) + "]"
-    table = F.create_map(*[F.lit(part) for pair in folds.items() for part in pair])
+    pieces = F.split(lowered, f"(?<={special})|(?={special})")
     folded = F.array_join(
-        F.transform(F.split(lowered, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)),
-        "",
-    )
-    return F.when(lowered.rlike(special), folded).otherwise(lowered)
+        F.transform(pieces, lambda c: F.coalesce(F.try_element_at(F.expr(table), c), c)), "")
+    has_special = lowered.rlike(r"[^\x00-\x7F]") & lowered.rlike(special)
+    return F.when(has_special, folded).otherwise(lowered)
 
 
 def normalize_space(text: Column) -> Column:

@@ -92,7 +92,7 @@ def remove_leaks(ratings: DataFrame, holdout: DataFrame, *, user: str = "user_id
                                "_fold_item": casefold(F.col(item).cast("string"))})
 
     pairs = folded(holdout).select(*keys).distinct()
-    kept = skew.spread_join(folded(ratings), pairs, keys, "left_anti", hot_rows=hot_rows)
+    kept = skew.salted_anti_join(folded(ratings), pairs, keys, keys[:1], hot_rows=hot_rows)
     return kept.drop(*keys)
 
 

@@ -15,16 +15,19 @@ LOOKUP_COLUMNS = ["normalized_id", "original_id", "key"]
 
 def raw_keys(df: DataFrame, column: str, order: Sequence[str], *, source_rank: int = 0,
              fold: bool = False) -> DataFrame:
-    """Keys of one source: ``key``, ``original``, and ``first`` = (source, order).
+    """Spellings of one source: ``key``, ``original``, ``first`` = (source, order), ``n_rows``.
 
-    The order columns of all sources that are put together must have the same
-    types; a lower ``source_rank`` takes precedence.
+    Rows are combined per spelling before anything else, so case folding sees
+    each spelling once. The order columns of all sources that are put together
+    must have the same types; a lower ``source_rank`` takes precedence.
     """
-    original = F.col(column).cast("string")
-    key = casefold(original) if fold else original
     first = F.struct(F.lit(source_rank).alias("source"), *[F.col(c) for c in order])
-    return df.filter(F.col(column).isNotNull()).select(
-        key.alias("key"), original.alias("original"), first.alias("first"))
+    spelled = df.filter(F.col(column).isNotNull()).select(
+        F.col(column).cast("string").alias("original"), first.alias("first"))
+    combined = spelled.groupBy("original").agg(F.min("first").alias("first"),
+                                               F.count(F.lit(1)).alias("n_rows"))
+    key = casefold(F.col("original")) if fold else F.col("original")
+    return combined.select(key.alias("key"), "original", "first", "n_rows")
 
 
 def first_seen(keys: DataFrame) -> DataFrame:
@@ -32,7 +35,7 @@ def first_seen(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(
         F.min("first").alias("first"),
         F.min_by("original", "first").alias("original_id"),
-        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("n_rows").alias("n_rows"),
     )
 
 
@@ -63,16 +66,29 @@ def assign_ids(keys: DataFrame, lookup: DataFrame | None = None, *,
 
 def encode(ratings: DataFrame, column: str, lookup: DataFrame, *, fold: bool = False,
            counts: DataFrame | None = None, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
-    """Replace the raw values of ``column`` by their ids.
+    """Replace the raw values of ``column`` by their ids; unknown values are dropped.
 
-    The original and its id are joined on the folded key; frequent keys are
-    handled by the spread join. ``counts`` (key, n_rows) saves a pass.
+    A lookup below the broadcast threshold is joined on the folded value of
+    each row. A larger one is first joined to the distinct spellings, and the
+    rows then meet their spelling in a balanced join. ``counts`` (original,
+    n_rows), as from :func:`raw_keys`, saves a pass over the rows.
     """
-    text = F.col(column).cast("string")
-    keyed = ratings.withColumn("key", casefold(text) if fold else text)
     ids = lookup.select("key", F.col("normalized_id").alias("_id"))
-    joined = skew.spread_join(keyed, ids, ["key"], "inner", counts=counts, hot_rows=hot_rows)
-    return joined.withColumn(column, F.col("_id")).drop("_id", "key")
+    text = F.col(column).cast("string")
+
+    def key_of(value):
+        return casefold(value) if fold else value
+
+    spelled = ratings.withColumn("original", text)
+    if skew.is_broadcastable(ids):
+        joined = spelled.withColumn("key", key_of(text)).join(F.broadcast(ids), "key")
+    else:
+        if counts is None:
+            counts = skew.key_counts(spelled.filter(text.isNotNull()), ["original"])
+        known = counts.select("original", key_of(F.col("original")).alias("key")).join(ids, "key")
+        joined = skew.spread_join(spelled, known.select("original", "_id"), ["original"],
+                                  counts=counts.select("original", "n_rows"), hot_rows=hot_rows)
+    return joined.withColumn(column, F.col("_id")).select(*ratings.columns)
 
 
 def item_statistics(lookup: DataFrame) -> DataFrame:

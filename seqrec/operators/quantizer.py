@@ -22,6 +22,7 @@ from seqrec.session import cut_lineage
 
 EPS = 1e-12
 ROWS_PER_CHUNK = 65_536
+PAIRS_IN_MEMORY = 8_000_000
 
 
 @dataclass
@@ -56,8 +57,8 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 def nearest(matrix: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the nearest centroid per row (lowest index on ties) and its distance.
 
-    The norm expansion preselects; rows with several centroids within rounding
-    distance are decided by the plain differences.
+    The norm expansion preselects; where several centroids are within rounding
+    distance of the best, the plain differences decide.
     """
     distance = ((matrix ** 2).sum(axis=1)[:, None] + (centroids ** 2).sum(axis=1)[None, :]
                 - 2.0 * (matrix @ centroids.T))
@@ -65,13 +66,26 @@ def nearest(matrix: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.n
     code = distance.argmin(axis=1)
     best = distance[np.arange(len(matrix)), code]
     close = distance <= best[:, None] + 1e-9
-    for row in np.flatnonzero(close.sum(axis=1) > 1):
-        options = np.flatnonzero(close[row])
-        exact = ((matrix[row] - centroids[options]) ** 2).sum(axis=1)
-        code[row] = options[exact.argmin()]
+    several = np.flatnonzero(np.count_nonzero(close, axis=1) > 1)
+    step = max(1, PAIRS_IN_MEMORY // (len(centroids) * max(1, matrix.shape[1])))
+    for start in range(0, len(several), step):
+        rows = several[start:start + step]
+        at, option = np.nonzero(close[rows])
+        exact = ((matrix[rows[at]] - centroids[option]) ** 2).sum(axis=1)
+        order = np.lexsort((option, exact, at))
+        first = order[np.searchsorted(at[order], np.arange(len(rows)))]
+        code[rows] = option[first]
     return code, best
 
 
+def sum_by_code(points: np.ndarray, code: np.ndarray, total: np.ndarray) -> None:
+    """Add every point to the row of ``total`` that its code names."""
+    if len(points):
+        order = np.argsort(code, kind="stable")
+        used, starts = np.unique(code[order], return_index=True)
+        total[used] += np.add.reduceat(points[order], starts, axis=0)
+
+
 def encode_matrix(matrix: np.ndarray, codebooks: Sequence[np.ndarray],
                   normalize: bool) -> np.ndarray:
     residual = unit_rows(matrix) if normalize else matrix
@@ -164,7 +178,7 @@ class _Layer:
                 for start in range(0, len(points), ROWS_PER_CHUNK):
                     chunk = points[start:start + ROWS_PER_CHUNK]
                     code, distance = nearest(chunk, book)
-                    np.add.at(total, code, chunk)
+                    sum_by_code(chunk, code, total)
                     count += np.bincount(code, minlength=len(book))
                     cost += np.bincount(code, weights=distance, minlength=len(book))
             used = np.flatnonzero(count)
@@ -187,25 +201,29 @@ class _Layer:
         shared.unpersist()
         return total, count, float(sum(r["cost"] for r in rows))
 
-    def update(self, centroids: np.ndarray, *salt: int) -> tuple[np.ndarray, float]:
-        """Means of the assigned points; an empty cluster takes a random point."""
+    def update(self, centroids: np.ndarray, spare: np.ndarray,
+               turn: int) -> tuple[np.ndarray, float]:
+        """Means of the assigned points; an empty cluster takes a random point.
+
+        The random points come from ``spare``, other ones in every turn.
+        """
         total, count, cost = self.sums(centroids)
         empty = np.flatnonzero(count == 0)
         if len(empty):
-            points = self.pick(len(empty), *salt)
-            total[empty], count[empty] = points[np.arange(len(empty)) % len(points)], 1
+            at = (np.arange(len(empty)) + turn * len(empty)) % len(spare)
+            total[empty], count[empty] = spare[at], 1
         return total / count[:, None], cost
 
-    def lloyd(self, centroids: np.ndarray, max_iterations: int, tolerance: float,
-              layer: int) -> tuple[np.ndarray, dict]:
+    def lloyd(self, centroids: np.ndarray, spare: np.ndarray, max_iterations: int,
+              tolerance: float) -> tuple[np.ndarray, dict]:
         shift = np.inf
         for iteration in range(max_iterations):
-            updated, _ = self.update(centroids, layer, 1, iteration)
+            updated, _ = self.update(centroids, spare, iteration)
             shift = float(np.linalg.norm(centroids - updated, axis=1).mean())
             centroids = updated
             if shift <= tolerance:
                 break
-        centroids, cost = self.update(centroids, layer, 2)
+        centroids, cost = self.update(centroids, spare, iteration + 1)
         return centroids, {"iterations": iteration + 1, "shift": shift, "cost": cost}
 
     def mini_batch(self, centroids: np.ndarray, epochs: int, tolerance: float, batches: int,
@@ -259,15 +277,16 @@ def fit(table: DataFrame, *, num_layers: int, codebook_size: int | Sequence[int]
     result = ResidualQuantizer([], normalize)
     for layer, size in enumerate(sizes):
         passes = _Layer(residuals, item, seed)
-        centroids = passes.pick(size, layer, 0)
-        if len(centroids) < size:
+        points = passes.pick(2 * size, layer)
+        if len(points) < size:
             raise ValueError("a codebook is larger than the number of vectors")
+        centroids, spare = points[:size], points[size:] if len(points) > size else points
         if mini_batches:
             centroids, stats = passes.mini_batch(
                 centroids, mini_batch_epochs or max_iterations, tolerance, mini_batches,
                 shuffle_mini_batches)
         else:
-            centroids, stats = passes.lloyd(centroids, max_iterations, tolerance, layer)
+            centroids, stats = passes.lloyd(centroids, spare, max_iterations, tolerance)
         result.codebooks.append(centroids)
         result.layers.append(stats)
         if layer + 1 < len(sizes):

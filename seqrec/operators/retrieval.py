@@ -19,8 +19,7 @@ from pyspark.sql.types import StructField, StructType
 from seqrec.functions import vectors
 from seqrec.operators import skew
 
-ITEM_BLOCK_ROWS = 50_000
-QUERY_SHARD_ROWS = 50_000
+BLOCK_BYTES = 128 * 1024 * 1024
 SMALLEST_SHARD = 512
 SCORES_IN_MEMORY = 4_000_000
 
@@ -92,8 +91,8 @@ def _best_in_block(queries: np.ndarray, excluded: list[np.ndarray] | None, ids:
 
 
 def top_k(queries: DataFrame, items: DataFrame, k: int, *, user: str = "user_id",
-          exclude: str | None = None, item_block_rows: int = ITEM_BLOCK_ROWS,
-          query_shard_rows: int = QUERY_SHARD_ROWS, parallelism: int | None = None) -> DataFrame:
+          exclude: str | None = None, block_bytes: int = BLOCK_BYTES,
+          parallelism: int | None = None) -> DataFrame:
     """The k items with the largest inner product per query, as (user, rank, item_id, score).
 
     ``queries``: user, embedding, and optionally an array column ``exclude``
@@ -102,8 +101,9 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, *, user: str = "user_id"
     rows are returned when fewer candidates are left.
 
     The data moved is queries x blocks plus items x shards. Both counts follow
-    from the table sizes: as few as fit the memory of a task, but enough
-    shards to occupy ``parallelism`` tasks.
+    from the table sizes: as few as keep the vectors of a shard and of a block
+    within ``block_bytes`` each, but enough shards for ``parallelism`` tasks.
+    Ids are unique on both sides, so shards and blocks are even.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -111,11 +111,10 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, *, user: str = "user_id"
         parallelism = queries.sparkSession.sparkContext.defaultParallelism
     vector = F.col("embedding").cast(vectors.DOUBLES).alias("embedding")
     n = F.count(F.lit(1))
-    blocks = items.agg(F.greatest(F.lit(1), F.ceil(n / item_block_rows)).cast("int")
-                       .alias("blocks")).scalar()
+    fitting = F.ceil(F.sum(F.size("embedding")) * 8 / block_bytes)  # doubles
+    blocks = items.agg(F.greatest(F.lit(1), fitting).cast("int").alias("blocks")).scalar()
     shards = queries.agg(F.greatest(
-        F.lit(1), F.ceil(n / query_shard_rows),
-        F.least(F.lit(parallelism), F.ceil(n / SMALLEST_SHARD))).cast("int")
+        F.lit(1), fitting, F.least(F.lit(parallelism), F.ceil(n / SMALLEST_SHARD))).cast("int")
         .alias("shards")).scalar()
 
     listed = [exclude] if exclude else []

@@ -36,8 +36,9 @@ def length_statistics(ratings: DataFrame, *, user: str = "user_id",
                       exact_median: bool = True) -> DataFrame:
     """Shortest, longest, mean and median sequence length, from per-user counts.
 
-    The median is taken over the few distinct lengths (a histogram), so it is
-    exact without sorting the users.
+    The median is taken over the distinct lengths (a histogram), so it is
+    exact without sorting the users. L distinct lengths need at least L * L / 2
+    events, so the histogram stays small.
     """
     lengths = skew.key_counts(ratings, [user])
     histogram = lengths.groupBy("n_rows").agg(F.count(F.lit(1)).alias("users"))

@@ -2,7 +2,8 @@
 
 Two facts are used throughout. The ``max_keys`` heaviest keys are found with
 one pre-aggregated count and a top-n, so what is broadcast has at most
-``max_keys`` rows whatever the size of the data. And a group with more rows
+``max_keys`` rows whatever the size of the data, and no key that is left out
+can hold more than one part in ``max_keys`` of the rows. And a group with more rows
 than ``hot_rows`` is split at sampled boundaries of its sort order, so no
 window ever holds a hot group in one task.
 
@@ -110,6 +111,29 @@ def spread_join(facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str
     return joined.select(*facts.columns, *[F.col(f"_match.{c}").alias(c) for c in payload])
 
 
+def salted_anti_join(facts: DataFrame, dim: DataFrame, keys: Sequence[str], coarse: Sequence[str], *,
+                     hot_rows: int = HOT_ROWS, salts: int = 64) -> DataFrame:
+    """Rows of the facts without a match in ``dim``, for fine keys such as pairs.
+
+    Counting fine keys would cost as much as the join. A key that is frequent
+    makes its ``coarse`` part frequent too, and those are few and cheap to
+    count: the facts of the heavy ones (at most ``MAX_HOT_KEYS``) are salted
+    and their rows of ``dim`` repeated once per salt.
+    """
+    if is_broadcastable(dim):
+        return facts.join(F.broadcast(dim), list(keys), "left_anti")
+    heavy = heavy_keys(key_counts(facts, coarse), coarse, hot_rows)
+    heavy = F.broadcast(heavy.select(*coarse, F.lit(True).alias("_hot")))
+    is_hot = F.col("_hot").isNotNull()
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    left = facts.join(heavy, list(coarse), "left").withColumn(
+        "_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    right = dim.join(heavy, list(coarse), "left").select(
+        *keys, F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))).alias("_salt"))
+    return left.join(right, [*keys, "_salt"], "left_anti").select(*facts.columns)
+
+
 def _bucket_of(bounds: Column, key: Column, steps: int) -> Column:
     """Number of sorted ``bounds`` below ``key``, by binary search."""
     start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
@@ -201,7 +225,9 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     """The first ``k`` rows per group with their one-based rank.
 
     Spark limits each group before the shuffle as well as after it (the window
-    group limit), so a hot group sends at most ``k`` rows per input task.
+    group limit), so a hot group sends at most ``k`` rows per input task. It
+    does so up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000);
+    raise that setting for a larger ``k``.
     """
     window = W.partitionBy(*group).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
