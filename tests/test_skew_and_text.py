@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seqrec.functions import text
 from seqrec.operators import skew
+from seqrec.session import conf_bytes, cut_lineage
 
 rng = random.Random(7)
 ROWS = [("hot" if rng.random() < 0.4 else f"u{rng.randrange(40)}", rng.randrange(50), i, rng.randrange(9))
@@ -45,10 +46,11 @@ def test_running_totals_equal_a_loop(facts, no_shortcuts, hot_rows, group):
 
 
 def test_small_tables_take_the_plain_way(spark, facts):
+    facts = cut_lineage(facts)
     total = skew.running_totals(facts, ["user"], ["ts", "ord"], {"n": F.lit(1)})
     assert "_bucket" not in total._jdf.queryExecution().toString()
     dim = spark.createDataFrame([("hot", 1)], "user string, w long")
-    joined = skew.spread_join(facts, dim, ["user"])
+    joined = skew.spread_join(facts, cut_lineage(dim), ["user"])
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
 
 
@@ -112,3 +114,10 @@ def test_normalize_space(spark):
     got = [tuple(r) for r in df.select(text.normalize_space(F.col("s")), text.strip(F.col("s")),
                                        text.is_blank(F.col("s"))).collect()]
     assert got == [(" ".join(v.split()), v.strip(), not v.strip()) for v in values]
+
+
+def test_size_settings(spark):
+    for text, want in [("10485760b", 10485760), ("10MB", 10485760), ("-1", -1), ("2g", 2 * 1024**3),
+                       ("nonsense", 7)]:
+        spark.conf.set("seqrec.test.size", text)
+        assert conf_bytes(spark, "seqrec.test.size", 7) == want
