@@ -5,6 +5,7 @@ from seqrec.checks import (  # noqa: F401
     examples,
     features,
     identifiers,
+    jobs,
     losses,
     metrics,
     retrieval,

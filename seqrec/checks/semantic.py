@@ -261,7 +261,7 @@ a AS (SELECT item_id, max(pos) AS last_pos, 0.9 * 1.0 + 0.1 * (max(pos) / count(
 a2 AS (SELECT item_id, last_pos, least(gap, 1000.0) AS gap FROM a),
 b AS (SELECT item_id, max(pos) AS last, count(*) AS n FROM p, h WHERE pos > mid GROUP BY item_id)
 SELECT item_id, last AS last_pos, round(least(0.9 * coalesce(gap, 1.0)
-       + 0.1 * ((last - coalesce(last_pos, 0)) / n), 1000.0), 6) AS gap
+       + 0.1 * ((last - coalesce(last_pos, 0)) / n), 1000.0), 9) AS gap
 FROM b LEFT JOIN a2 USING (item_id)""")
 def item_frequency(spark, sf_dir):
     """Two batches of the event stream through the frequency estimate."""
@@ -273,5 +273,5 @@ def item_frequency(spark, sf_dir):
     middle = events.agg(F.floor((F.max("event_id") + 1) / 2).alias("mid")).scalar()
     first = frequency.update(rows.filter(F.col("pos") <= middle), None, alpha=0.1, cap=1000.0)
     second = frequency.update(rows.filter(F.col("pos") > middle), first, alpha=0.1, cap=1000.0)
-    return second.withColumn("gap", F.round("gap", 6))
+    return second.withColumn("gap", F.round("gap", 9))
 

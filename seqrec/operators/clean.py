@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqrec.functions.text import casefold
 from seqrec.operators import skew
+from seqrec.session import once
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -71,12 +72,12 @@ def min_presence(ratings: DataFrame, minimum: int, *, user: str = "user_id",
     Both are counted once on the unfiltered table; this is not a k-core.
     Rows with a null id are dropped.
     """
-    kept = ratings.filter(F.col(user).isNotNull() & F.col(item).isNotNull())
     if minimum <= 1:
-        return kept
-    # counts are taken of the ids that make up each key, before any filter
+        return ratings.filter(F.col(user).isNotNull() & F.col(item).isNotNull())
+    ratings = once(ratings)
+    kept = ratings.filter(F.col(user).isNotNull() & F.col(item).isNotNull())
     for key in (item, user):
-        counts = skew.key_counts(ratings.filter(F.col(key).isNotNull()), [key])
+        counts = once(skew.key_counts(ratings.filter(F.col(key).isNotNull()), [key]))
         enough = counts.filter(F.col("n_rows") >= minimum).select(key)
         kept = skew.spread_join(kept, enough, [key], "left_semi", counts=counts, hot_rows=hot_rows)
     return kept

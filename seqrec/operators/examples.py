@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqrec.functions import arrays
 from seqrec.operators import sequences, skew
+from seqrec.session import once
 
 
 def hash_fraction(*parts: Column) -> Column:
@@ -20,7 +21,8 @@ def hash_fraction(*parts: Column) -> Column:
 def sample_positions(ratings: DataFrame, ratio: float, ignore_last_n: int, seed: int, *,
                      user: str, order: Sequence[str], hot_rows: int) -> DataFrame:
     """Drop the last n events per user, then keep each position with probability ``ratio``."""
-    counts = skew.key_counts(ratings, [user])
+    ratings = once(ratings)
+    counts = once(skew.key_counts(ratings, [user]))
     placed = sequences.positions(ratings, user=user, order=order, counts=counts, hot_rows=hot_rows)
     sized = skew.spread_join(placed, counts, [user], "inner", counts=counts, hot_rows=hot_rows)
     kept = sized.filter(F.col("pos") < F.col("n_rows") - ignore_last_n)

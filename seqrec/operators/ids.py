@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqrec.functions.text import casefold
 from seqrec.operators import skew
+from seqrec.session import once
 
 LOOKUP_COLUMNS = ["normalized_id", "original_id", "key"]
 
@@ -48,6 +49,7 @@ def new_ids(keys: DataFrame, lookup: DataFrame | None = None, *,
     seen = first_seen(keys).drop("n_rows")
     base = F.lit(0)
     if lookup is not None:
+        lookup = once(lookup)
         # both sides hold one row per key
         seen = seen.join(lookup.select("key"), "key", "left_anti")
         largest = lookup.agg(F.coalesce(F.max("normalized_id"), F.lit(-1)).alias("largest"))
@@ -60,6 +62,8 @@ def new_ids(keys: DataFrame, lookup: DataFrame | None = None, *,
 def assign_ids(keys: DataFrame, lookup: DataFrame | None = None, *,
                hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """The complete new version of a lookup: existing ids are kept, new keys follow."""
+    if lookup is not None:
+        lookup = once(lookup)
     fresh = new_ids(keys, lookup, hot_rows=hot_rows)
     return fresh if lookup is None else lookup.select(*LOOKUP_COLUMNS).unionByName(fresh)
 

@@ -18,6 +18,7 @@ from pyspark.sql.types import StructField, StructType
 
 from seqrec.functions import vectors
 from seqrec.operators import skew
+from seqrec.session import once
 
 BLOCK_BYTES = 128 * 1024 * 1024
 SMALLEST_SHARD = 512
@@ -109,6 +110,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, *, user: str = "user_id"
         raise ValueError("k must be positive")
     if parallelism is None:
         parallelism = queries.sparkSession.sparkContext.defaultParallelism
+    queries, items = once(queries), once(items)
     vector = F.col("embedding").cast(vectors.DOUBLES).alias("embedding")
     n = F.count(F.lit(1))
     fitting = F.ceil(F.sum(F.size("embedding")) * 8 / block_bytes)  # doubles
@@ -166,6 +168,7 @@ def valid_candidates(queries: DataFrame, items: DataFrame, exclude: str, *,
     The excluded ids that exist are counted against the number of items; the
     per-user candidate sets themselves are never written out.
     """
+    queries, items = once(queries), once(items)
     total = items.agg(F.count(F.lit(1)).alias("n")).scalar()
     listed = queries.select(user, F.explode(F.array_distinct(exclude)).alias("item_id"))
     present = skew.spread_join(listed, items.select("item_id"), ["item_id"], "left_semi")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from seqrec.functions import arrays
 from seqrec.operators import skew
+from seqrec.session import once
 
 EVENT = ["item_id", "rating", "ts"]
 
@@ -27,7 +28,8 @@ def positions(ratings: DataFrame, *, user: str = "user_id", order: Sequence[str]
 def min_length(ratings: DataFrame, minimum: int, *, user: str = "user_id",
                hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Keep the users with at least ``minimum`` events, before anything is collected."""
-    counts = skew.key_counts(ratings, [user])
+    ratings = once(ratings)
+    counts = once(skew.key_counts(ratings, [user]))
     enough = counts.filter(F.col("n_rows") >= minimum).select(user)
     return skew.spread_join(ratings, enough, [user], "left_semi", counts=counts, hot_rows=hot_rows)
 
@@ -146,7 +148,7 @@ def next_item_pairs(ratings: DataFrame, *, user: str = "user_id",
     Events and their successors meet on (user, pos), which is unique, so a hot
     user is spread over all tasks. The last event has no pair.
     """
-    placed = positions(ratings, user=user, order=order, hot_rows=hot_rows)
+    placed = once(positions(ratings, user=user, order=order, hot_rows=hot_rows))
     current = placed.select(user, "pos", "item_id")
     following = placed.select(user, (F.col("pos") - 1).alias("pos"),
                               F.col("item_id").alias("next_item_id"),

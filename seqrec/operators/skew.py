@@ -9,7 +9,9 @@ window ever holds a hot group in one task.
 
 Small inputs take the plain way, and smallness is checked: a table is joined
 by broadcast below Spark's own broadcast threshold, and a window is left whole
-when its input is no larger than one input split.
+when its input is no larger than one input split. An input that is read in
+several passes is written once before (``session.once``), so no pass repeats
+the work behind it.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqrec.session import conf_bytes, plan_bytes
+from seqrec.session import conf_bytes, once, plan_bytes
 
 MAX_HOT_KEYS = 1024
 HOT_ROWS = 1_000_000
@@ -79,10 +81,13 @@ def spread_join(facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
 
+    if not is_broadcastable(dim):
+        dim = once(dim)
     if is_broadcastable(dim):
         return facts.join(F.broadcast(dim), keys, how).select(*facts.columns, *payload)
 
     if counts is None:
+        facts = once(facts)
         counts = key_counts(facts, keys)
     heavy = heavy_keys(counts, keys, hot_rows).select(*keys)
     values = F.struct(F.lit(True).alias("hit"), *payload)
@@ -120,8 +125,11 @@ def salted_anti_join(facts: DataFrame, dim: DataFrame, keys: Sequence[str], coar
     count: the facts of the heavy ones (at most ``MAX_HOT_KEYS``) are salted
     and their rows of ``dim`` repeated once per salt.
     """
+    if not is_broadcastable(dim):
+        dim = once(dim)
     if is_broadcastable(dim):
         return facts.join(F.broadcast(dim), list(keys), "left_anti")
+    facts = once(facts)
     heavy = heavy_keys(key_counts(facts, coarse), coarse, hot_rows)
     heavy = F.broadcast(heavy.select(*coarse, F.lit(True).alias("_hot")))
     is_hot = F.col("_hot").isNotNull()
@@ -150,6 +158,19 @@ def _bucket_of(bounds: Column, key: Column, steps: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["lo"])
 
 
+def _range_bounds(sample: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every 32nd sampled position per group, in order, as one array ``_bounds``."""
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy("_at"))
+    picked = sample.withColumn("_nth", nth).filter(F.col("_nth") % SAMPLES_PER_BUCKET == 0)
+    return picked.groupBy(*keys).agg(F.array_sort(F.collect_list("_at")).alias("_bounds"))
+
+
+def _sampling_step(rows: Column, hot_rows: int) -> Column:
+    """Of how many rows one is sampled, for about 32 per range."""
+    buckets = F.least(F.lit(MAX_BUCKETS), F.ceil(rows / hot_rows) + 1)
+    return F.greatest(F.lit(1), F.floor(rows / (buckets * SAMPLES_PER_BUCKET)))
+
+
 def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str],
                    totals: Mapping[str, Column], *, counts: DataFrame | None = None,
                    hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -161,56 +182,44 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str],
     spread and the result is the same. With no ``group`` the whole table is
     one group.
     """
-    order, plain = list(order), list(df.columns)
-    keys = list(group)
+    keys, order, plain = list(group), list(order), list(df.columns)
+    if not is_one_split(df):
+        df = once(df)
     if is_one_split(df):
         whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.select(*plain, *[F.sum(v).over(whole).alias(n) for n, v in totals.items()])
-    if not keys:
-        df, keys, counts = df.withColumn("_all", F.lit(0)), ["_all"], None
-    if counts is None:
-        counts = key_counts(df, keys)
-    buckets = F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("n_rows") / hot_rows) + 1)
-    heavy = F.broadcast(heavy_keys(counts, keys, hot_rows).withColumn("_buckets", buckets))
 
     rank_key = F.struct(*[F.col(c) for c in order])
-    every = F.greatest(F.lit(1), F.floor(F.col("n_rows") / (F.col("_buckets") * SAMPLES_PER_BUCKET)))
-    sample = (
-        df.select(*dict.fromkeys([*keys, *order])).join(heavy, keys)
-        .filter(F.pmod(F.xxhash64(*order), every) == 0)
-        .select(*keys, rank_key.alias("_at"))
-    )
-    nth = F.row_number().over(W.partitionBy(*keys).orderBy("_at"))
-    bounds = F.broadcast(
-        sample.withColumn("_nth", nth)
-        .filter(F.col("_nth") % SAMPLES_PER_BUCKET == 0)
-        .groupBy(*keys).agg(F.array_sort(F.collect_list("_at")).alias("_bounds"))
-    )
-    placed = df.join(bounds, keys, "left").withColumn(
-        "_bucket",
-        F.when(F.col("_bounds").isNull(), F.lit(0))
-        .otherwise(_bucket_of(F.col("_bounds"), rank_key, 14)),
-    )
-    within = W.partitionBy(*keys, "_bucket")
-    running = within.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = placed.select(*plain, *([] if group else ["_all"]), "_bucket",
+    chosen = F.xxhash64(*order)
+    if keys:
+        if counts is None:
+            counts = key_counts(df, keys)
+        heavy = F.broadcast(heavy_keys(counts, keys, hot_rows))
+        sample = df.select(*dict.fromkeys([*keys, *order])).join(heavy, keys).filter(
+            F.pmod(chosen, _sampling_step(F.col("n_rows"), hot_rows)) == 0)
+        bounds = once(_range_bounds(sample.select(*keys, rank_key.alias("_at")), keys))
+        placed = df.join(F.broadcast(bounds), keys, "left")
+    else:
+        rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+        sample = df.filter((rows > hot_rows) & (F.pmod(chosen, _sampling_step(rows, hot_rows)) == 0))
+        bounds = once(_range_bounds(sample.select(rank_key.alias("_at")), []))
+        placed = df.withColumn("_bounds", F.nullif(bounds.scalar(), F.array()))
+    placed = placed.withColumn("_bucket", F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(
+        _bucket_of(F.col("_bounds"), rank_key, 14)))
+    within = W.partitionBy(*keys, "_bucket").orderBy(*order)
+    running = within.rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = placed.select(*plain, "_bucket",
                           *[F.sum(v).over(running).alias(f"_local_{n}") for n, v in totals.items()])
 
-    sums = (
-        placed.filter(F.col("_bounds").isNotNull())
-        .groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()])
-    )
+    # one row per range of a hot group: at most MAX_HOT_KEYS * MAX_BUCKETS rows
+    sums = placed.filter(F.col("_bounds").isNotNull()).groupBy(*keys, "_bucket").agg(
+        *[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()])
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = F.broadcast(
-        sums.select(*keys, "_bucket",
-                    *[F.sum(f"_sum_{n}").over(before).alias(f"_before_{n}") for n in totals])
-    )
-    out = local.join(offsets, [*keys, "_bucket"], "left")
-    return out.select(
-        *plain,
-        *[(F.col(f"_local_{n}") + F.coalesce(F.col(f"_before_{n}"), F.lit(0))).alias(n)
-          for n in totals],
-    )
+    offsets = sums.select(*keys, "_bucket", *[F.sum(f"_sum_{n}").over(before).alias(f"_before_{n}")
+                                              for n in totals])
+    out = local.join(F.broadcast(offsets), [*keys, "_bucket"], "left")
+    return out.select(*plain, *[
+        (F.col(f"_local_{n}") + F.coalesce(F.col(f"_before_{n}"), F.lit(0))).alias(n) for n in totals])
 
 
 def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, *,

@@ -48,6 +48,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Plan nodes that are cheap to repeat.
+REPEATABLE = {"Relation", "Project", "Filter", "LocalRelation", "LogicalRDD", "Range"}
+
+
+def once(df: DataFrame) -> DataFrame:
+    """A table that several passes may read.
+
+    Scans with projections and filters are returned as they are. Behind a
+    join, an aggregation, a window or Python every pass would repeat that
+    work, so the table is written first; its size is exact from then on.
+    """
+    tree = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {re.sub(r"^[\s:+\-]*", "", line).split(" ")[0] for line in tree.splitlines() if line.strip()}
+    return df if nodes <= REPEATABLE else cut_lineage(df)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Upper estimate of the size of ``df`` by the optimizer, known before it runs."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()

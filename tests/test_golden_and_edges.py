@@ -120,17 +120,13 @@ def test_leaks_ignore_case_and_repeats(spark):
 
 
 @pytest.mark.parametrize("hot_rows", [1, 10**6])
-def test_leaks_with_a_hot_pair(spark, hot_rows):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        df = spark.range(500).select(
-            F.when(F.col("id") < 200, "hot").otherwise(F.col("id").cast("string")).alias("user_id"),
-            F.when(F.col("id") < 200, "i").otherwise(F.col("id").cast("string")).alias("item_id"), "id")
-        held = spark.createDataFrame([("hot", "i"), ("300", "300"), ("301", "x")],
-                                     "user_id string, item_id string")
-        got = sorted(r["id"] for r in clean.remove_leaks(df, held, hot_rows=hot_rows).collect())
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_leaks_with_a_hot_pair(spark, no_shortcuts, hot_rows):
+    df = spark.range(500).select(
+        F.when(F.col("id") < 200, "hot").otherwise(F.col("id").cast("string")).alias("user_id"),
+        F.when(F.col("id") < 200, "i").otherwise(F.col("id").cast("string")).alias("item_id"), "id")
+    held = spark.createDataFrame([("hot", "i"), ("300", "300"), ("301", "x")],
+                                 "user_id string, item_id string")
+    got = sorted(r["id"] for r in clean.remove_leaks(df, held, hot_rows=hot_rows).collect())
     assert got == [i for i in range(200, 500) if i != 300]
 
 
@@ -160,23 +156,19 @@ def test_incremental_ids_continue(spark):
 
 
 @pytest.mark.parametrize("small", [True, False])
-def test_encode_drops_unknown_values(spark, small):
+def test_encode_drops_unknown_values(spark, request, small):
     if not small:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        lookup = ids.assign_ids(keys_of(spark, ["a", "B"], fold=True))
-        df = spark.createDataFrame([("A", 1), ("b", 2), ("zz", 3), (None, 4)], "k string, v int")
-        got = sorted(map(tuple, ids.encode(df, "k", lookup, fold=True).collect()))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        request.getfixturevalue("no_shortcuts")
+    lookup = ids.assign_ids(keys_of(spark, ["a", "B"], fold=True))
+    df = spark.createDataFrame([("A", 1), ("b", 2), ("zz", 3), (None, 4)], "k string, v int")
+    got = sorted(map(tuple, ids.encode(df, "k", lookup, fold=True).collect()))
     assert got == [(0, 1), (1, 2)]
 
 
 @pytest.mark.parametrize("partitions", [1, 3, 8])
-def test_ids_do_not_depend_on_partitions(spark, partitions):
+def test_ids_do_not_depend_on_partitions(spark, no_shortcuts, partitions):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
     try:
         df = spark.range(0, 3000, 1, partitions).select(
             F.pmod(F.xxhash64("id"), F.lit(700)).cast("string").alias("k"), F.col("id").alias("ord"))
@@ -185,7 +177,6 @@ def test_ids_do_not_depend_on_partitions(spark, partitions):
         order = [r["k"] for r in df.orderBy("ord").collect()]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert numbers == {k: i for i, k in enumerate(dict.fromkeys(order))}
 
 

@@ -20,18 +20,6 @@ def facts(spark):
     return spark.createDataFrame(ROWS, "user string, ts long, ord long, v long").repartition(5)
 
 
-@pytest.fixture
-def no_shortcuts(spark):
-    """Sizes that make every table count as large."""
-    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes"]
-    old = [spark.conf.get(k) for k in keys]
-    spark.conf.set(keys[0], "-1")
-    spark.conf.set(keys[1], "1")
-    yield
-    for key, value in zip(keys, old):
-        spark.conf.set(key, value)
-
-
 @pytest.mark.parametrize("hot_rows", [30, 10**6])
 @pytest.mark.parametrize("group", [["user"], []])
 def test_running_totals_equal_a_loop(facts, no_shortcuts, hot_rows, group):
