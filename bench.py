@@ -69,7 +69,7 @@ def main() -> None:
 
     def scored():
         targets = setting.examples.select("user_id", "target_ids", "target_ser_label")
-        ranks = metrics.target_ranks(targets, result["ranked"], 200)
+        ranks = cut_lineage(metrics.target_ranks(targets, result["ranked"], 200))
         metrics.retrieval(ranks, CUTOFFS, 200).collect()
         metrics.serendipity(ranks, [5, *CUTOFFS], 200).collect()
 

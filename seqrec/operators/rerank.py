@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -17,27 +17,32 @@ from seqrec.functions import scores, vectors
 Layer = tuple[Sequence[Sequence[float]], Sequence[float]]
 
 
+def _rows(vectors_of_batch: pa.Array) -> np.ndarray:
+    flat = vectors_of_batch.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors_of_batch), -1)
+
+
 def expert_logits(pairs: DataFrame, layers: Sequence[Layer], *, user_vector: str = "user_vector",
                   item_vector: str = "item_vector", name: str = "ser_logit") -> DataFrame:
     """Logit of a small network on the concatenated user and item vectors.
 
     ``layers`` are (weights [out][in], bias [out]); ReLU between them, none
-    after the last one, which has one output.
+    after the last one, which has one output. Vectors may not be null.
     """
     weights = [(np.asarray(w, dtype=np.float64), np.asarray(b, dtype=np.float64))
                for w, b in layers]
     if weights[-1][0].shape[0] != 1:
         raise ValueError("the last layer must have one output")
 
-    @F.pandas_udf("double")
-    def forward(users: pd.Series, items: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def forward(users: pa.Array, items: pa.Array) -> pa.Array:
         if len(users) == 0:
-            return pd.Series([], dtype="float64")
-        hidden = np.hstack([np.stack(users.to_numpy()), np.stack(items.to_numpy())])
+            return pa.array([], pa.float64())
+        hidden = np.hstack([_rows(users), _rows(items)])
         for w, b in weights[:-1]:
             hidden = np.maximum(hidden @ w.T + b, 0.0)
         w, b = weights[-1]
-        return pd.Series((hidden @ w.T + b)[:, 0])
+        return pa.array((hidden @ w.T + b)[:, 0])
 
     return pairs.withColumn(name, forward(F.col(user_vector), F.col(item_vector)))
 

@@ -57,13 +57,13 @@ def evaluate(examples: DataFrame, candidates: DataFrame, k: int, cutoffs: Sequen
              user: str = "user_id", store: Store = cut_lineage, **options) -> Evaluation:
     """Ranking metrics of the targets of ``examples``; a user without a list is a miss.
 
-    Queries and lists are read by several steps and written once (``store``).
+    Queries, lists and ranks are read by several steps and written once (``store``).
     """
     if queries is None:
         queries = store(query_vectors(examples, candidates, user=user))
     ranked = store(retrieve(queries, candidates, k, user=user, **options))
     targets = examples.select(user, "target_ids", "target_ser_label")
-    ranks = metrics.target_ranks(targets, ranked, k, user=user)
+    ranks = store(metrics.target_ranks(targets, ranked, k, user=user))
     return Evaluation(ranked, ranks, metrics.retrieval(ranks, cutoffs, k),
                       metrics.serendipity(ranks, ser_cutoffs or cutoffs, k))
 
