@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqrec.operators import examples, ids, item_text, quantizer, sequences
+from seqrec.operators import examples, item_text, quantizer, sequences
 from seqrec.plans import evaluate, prepare, semantic
 from seqrec.sinks import tables
 from seqrec.sources import catalogue, embeddings, ratings, registry
