@@ -15,7 +15,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from seqrec.checks import retrieval as checks  # noqa: E402
 from seqrec.operators import ids, metrics, quantizer, retrieval, semantic_ids, sequences  # noqa: E402
 from seqrec.plans import evaluate, prepare, views  # noqa: E402
-from seqrec.session import RECOMMENDED_CONF, cut_lineage  # noqa: E402
+from seqrec.session import RECOMMENDED_CONF, cut_lineage, ship_package  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -36,6 +36,7 @@ def main() -> None:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().collect()  # start-up
     seconds: dict[str, float] = {}
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,20 @@ RECOMMENDED_CONF = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context.
+
+    Needed where it is neither installed on the executors nor given with
+    ``--py-files``.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_seqrec_shipped", False):
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="seqrec-package-")) / package.name
+        context.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+        context._seqrec_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make sure intermediate tables go to the folder the cluster names.
 

@@ -59,6 +59,7 @@ def main() -> int:
     from pyspark.sql import SparkSession
 
     from seqrec.checks import REGISTRY
+    from seqrec.session import ship_package
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     names = sys.argv[2:] or list(REGISTRY)
@@ -66,6 +67,7 @@ def main() -> int:
              .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     connection, bad = duck(sf_dir), 0
     for name in names:
         started = time.time()

@@ -21,6 +21,9 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from seqrec.session import ship_package
+
+    ship_package(session)
     yield session
     session.stop()
 
