@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqrec.llm import langid, pii, simhash
+from seqrec.llm import langid, lines, mixing, pii, shards, simhash, warc
 from seqrec.llm.common import table
+from seqrec.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,3 +57,154 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
               for kind in pii.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"),
                         pii.listed(F.col("spans")).alias("spans"))
+
+
+# Source and language weights of the mixing query, by node name; domains are thirds of the sources.
+DOMAIN_WEIGHTS = {"=d0": 5, "=d1": 3, "=d2": 2}
+LANGUAGE_WEIGHTS = {"=en": 4, "=de": 2, "=fr": 2, "=es": 3}
+SOURCE_WEIGHTS = {"=src0": 3, "=src1": 2}
+
+
+def weight(level: int, weights: dict[str, int]):
+    """The weight of a node by its name, 1 where none is given."""
+    chosen = F.lit(1)
+    for name, value in weights.items():
+        chosen = F.when(F.col(f"level_{level}") == name, F.lit(value)).otherwise(chosen)
+    return chosen
+
+
+def domain():
+    """The domain of a document: the number of its source modulo 3."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1)
+    return F.when(number != "", F.concat(F.lit("d"), (F.expr(f"try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT)") % 3).cast("string")))
+
+
+def _cases(level: int, weights: dict[str, int]) -> str:
+    return f"CASE level_{level} " + " ".join(f"WHEN '{n}' THEN {v}" for n, v in weights.items()) + " ELSE 1 END"
+
+
+def _fill_sql(name: str, nodes: str, family: str, own: str) -> str:
+    """Water filling of ``given`` among the rows of ``nodes`` with one ``family``."""
+    over = f"PARTITION BY {family}" if family else ""
+    order = f"{over} ORDER BY cap / nullif(w, 0) NULLS LAST, {own}"
+    return f"""
+{name}_a AS (SELECT *, CASE WHEN cap > 0 THEN weight ELSE 0 END AS w FROM {nodes}),
+{name}_b AS (SELECT *, coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
+    coalesce(sum(w) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_before,
+    sum(w) OVER ({over}) AS weights FROM {name}_a),
+{name}_c AS (SELECT *, CAST(cap AS HUGEINT) * (weights - weight_before) <= CAST(w AS HUGEINT) * greatest(given - cap_before, 0) AS f FROM {name}_b),
+{name}_d AS (SELECT *, CASE WHEN f THEN 0 ELSE w END AS ow,
+    given - sum(CASE WHEN f THEN cap ELSE 0 END) OVER ({over}) AS remaining FROM {name}_c),
+{name}_e AS (SELECT *, CAST(sum(ow) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS HUGEINT) AS upto,
+    CAST(sum(ow) OVER ({over}) AS HUGEINT) AS oall FROM {name}_d),
+{name} AS (SELECT *, CASE WHEN f THEN cap ELSE least(coalesce(upto * remaining // nullif(oall, 0) - (upto - ow) * remaining // nullif(oall, 0), 0), cap) END AS budget FROM {name}_e)"""
+
+
+MIX_FRACTION, MIX_EPOCHS = (2, 3), 3
+
+
+def mix_sql(fraction: tuple[int, int], max_epochs: int, documents: str = "documents") -> str:
+    """The tables ``mixed`` (doc_id, copies, tokens, leaf) by ordinary windows."""
+    return f"""
+sizes AS (SELECT *, coalesce('=' || domain, '-') AS level_0, coalesce('=' || lang, '-') AS level_1,
+    coalesce('=' || source, '-') AS level_2,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS tokens
+  FROM (SELECT *, 'd' || CAST(CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS BIGINT) % 3 AS VARCHAR) AS domain FROM {documents})),
+leaves AS (SELECT level_0, level_1, level_2, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS n_rows FROM sizes GROUP BY ALL),
+weighed AS (SELECT *, tokens * {max_epochs} AS cap, {_cases(0, DOMAIN_WEIGHTS)} AS w0, {_cases(1, LANGUAGE_WEIGHTS)} AS w1,
+    {_cases(2, SOURCE_WEIGHTS)} AS w2 FROM leaves),
+top AS (SELECT least(sum(cap), sum(tokens) * {fraction[0]} // {fraction[1]}) AS given FROM weighed),
+n0 AS (SELECT level_0, sum(cap) AS cap, max(w0) AS weight, (SELECT given FROM top) AS given FROM weighed GROUP BY level_0),
+{_fill_sql('b0', 'n0', '', 'level_0')},
+n1 AS (SELECT x.level_0, x.level_1, sum(x.cap) AS cap, max(w1) AS weight, max(b0.budget) AS given
+  FROM weighed x JOIN b0 USING (level_0) GROUP BY x.level_0, x.level_1),
+{_fill_sql('b1', 'n1', 'level_0', 'level_1')},
+n2 AS (SELECT x.level_0, x.level_1, x.level_2, sum(x.cap) AS cap, max(w2) AS weight, max(b1.budget) AS given
+  FROM weighed x JOIN b1 USING (level_0, level_1) GROUP BY x.level_0, x.level_1, x.level_2),
+{_fill_sql('b2', 'n2', 'level_0, level_1', 'level_2')},
+plan AS (SELECT l.*, CAST(b2.budget AS BIGINT) AS budget, CAST(coalesce(b2.budget // nullif(l.tokens, 0), 0) AS BIGINT) AS epochs
+  FROM leaves l JOIN b2 USING (level_0, level_1, level_2)),
+keyed AS (SELECT s.*, epochs, budget - epochs * p.tokens AS leaf_rest,
+    md5('{mixing.SEED}:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mix_key
+  FROM sizes s JOIN plan p USING (level_0, level_1, level_2)),
+run AS (SELECT *, sum(tokens) OVER (PARTITION BY level_0, level_1, level_2 ORDER BY mix_key) AS upto FROM keyed),
+mixed AS (SELECT *, CAST(epochs + CASE WHEN leaf_rest > 0 AND upto <= leaf_rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM run)"""
+
+
+@query(f"""WITH {mix_sql(MIX_FRACTION, MIX_EPOCHS)}
+SELECT doc_id, domain, lang, source, tokens, copies FROM mixed WHERE copies > 0""")
+def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that the mixture takes, and how often."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", domain().alias("domain"), "lang", "source")
+    mixed = mixing.mix(docs, [F.col("domain"), F.col("lang"), F.col("source")],
+                       [weight(0, DOMAIN_WEIGHTS), weight(1, LANGUAGE_WEIGHTS), weight(2, SOURCE_WEIGHTS)],
+                       fraction=MIX_FRACTION, max_epochs=MIX_EPOCHS)
+    return mixed.select("doc_id", "domain", "lang", "source", mixing.tokens_of(F.col("text")).alias("tokens"), "copies")
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@query(f"""WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+numbered AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM split),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    '{_UPPER}', '{_UPPER.lower()}') AS key FROM numbered),
+shared AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= {lines.MIN_LENGTH} GROUP BY key
+  HAVING count(DISTINCT doc_id) >= {lines.MIN_DOCS}),
+marked AS (SELECT k.*, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM keyed k LEFT JOIN shared USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its counts of lines and the digest of what stays."""
+    kept = lines.drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= {warc.MIN_REVISIT} AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {warc.MIN_REVISIT} AND first_id <> page_id THEN first_id END AS refers_to FROM f""")
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it comes back from the archives it was written to."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.captures(warc.read_records(spark, path, keep_payload=False))
+    field = lambda name: F.try_element_at("metadata.fields", F.lit(name)).cast("long")
+    return found.select(
+        field("pageid").alias("page_id"), field("payloadbytes").alias("payload_bytes"),
+        F.col("capture.payload_digest").alias("payload_digest"), F.col("capture.type").alias("record_type"),
+        field("referstopageid").alias("refers_to"))
+
+
+_CRC_TABLE = ("(SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), "
+              "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) "
+              "FROM range(256) t(i))")
+
+
+@query(f"""WITH crc_table AS (SELECT {_CRC_TABLE} AS t),
+bytes AS (SELECT doc_id, source, coalesce(text, '') AS body FROM documents),
+sized AS (SELECT doc_id, source, CAST(strlen(body) + 16 AS BIGINT) AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(body)), '..'),
+        lambda h: CAST('0x' || h AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, crc_table),
+keyed AS (SELECT *, md5('{shards.SEED}:' || doc_id) AS key FROM sized),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id) AS r,
+    count(*) OVER (PARTITION BY source) AS total FROM keyed),
+mixed AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * r - 1 AS DOUBLE) / CAST(2 * total AS DOUBLE), source NULLS FIRST, key, doc_id) - 1 AS p,
+    count(*) OVER () AS n FROM ranked),
+cut AS (SELECT *, p * {shards.SHARDS} // n AS s FROM mixed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(s AS INTEGER) AS shard,
+  CAST(p - (s * n + {shards.SHARDS - 1}) // {shards.SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut""")
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard and its place there, row counts equal to one."""
+    text = F.col("text")
+    keys = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", shards.size_of(text).alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
+    placed = shards.interleave(keys)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
