@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqrec.llm import langid, lines, mixing, pii, shards, simhash, warc
+from seqrec.llm import langid, lines, mixing, pii, shards, simhash, topk, warc
 from seqrec.llm.common import table
 from seqrec.session import ensure_checkpoint_dir
 
@@ -208,3 +208,19 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.interleave(keys)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERY_EVERY, TOP = 20, 20
+
+
+@query(f"""WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(64 * x)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.v, x.v) AS BIGINT) AS score
+  FROM v q JOIN v x ON q.vec_id % {QUERY_EVERY} = 0 AND q.vec_id <> x.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {TOP}""")
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best vectors of every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors.filter(F.col("vec_id") % QUERY_EVERY == 0), vectors, TOP)
