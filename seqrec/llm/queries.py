@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqrec.llm import langid, lines, mixing, pii, shards, simhash, topk, warc
+from seqrec.llm import decontaminate, langid, lines, mixing, pii, shards, simhash, topk, warc
 from seqrec.llm.common import table
 from seqrec.session import ensure_checkpoint_dir
 
@@ -224,3 +224,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best vectors of every twentieth vector."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors.filter(F.col("vec_id") % QUERY_EVERY == 0), vectors, TOP)
+
+
+@query()
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and the edits between them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.tagged(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.edits", "m.end_word", "m.n_words")
