@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqrec.llm import decontaminate, langid, lines, mixing, pii, shards, simhash, topk, warc
+from seqrec.llm import decontaminate, langid, licences, lines, mixing, pii, shards, simhash, topk, warc
 from seqrec.llm.common import table
 from seqrec.session import ensure_checkpoint_dir
 
@@ -232,3 +232,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.tagged(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.edits", "m.end_word", "m.n_words")
+
+
+@query()
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph of every document that states a licence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.scan(docs, licences.fit(docs))
+    return found.select("doc_id", F.explode("licences").alias("l")).select("doc_id", "l.*")
