@@ -23,7 +23,7 @@ def sample_positions(ratings: DataFrame, ratio: float, ignore_last_n: int, seed:
     """Drop the last n events per user, then keep each position with probability ``ratio``."""
     ratings = once(ratings)
     counts = once(skew.key_counts(ratings, [user]))
-    placed = sequences.positions(ratings, user=user, order=order, counts=counts, hot_rows=hot_rows)
+    placed = sequences.positions(ratings, user=user, order=order)
     sized = skew.spread_join(placed, counts, [user], "inner", counts=counts, hot_rows=hot_rows)
     kept = sized.filter(F.col("pos") < F.col("n_rows") - ignore_last_n)
     return kept.filter(hash_fraction(F.lit(seed), F.col(user), F.col("pos")) < ratio) \

@@ -40,8 +40,7 @@ def first_seen(keys: DataFrame) -> DataFrame:
     )
 
 
-def new_ids(keys: DataFrame, lookup: DataFrame | None = None, *,
-            hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def new_ids(keys: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
     """Ids of the keys that are not in ``lookup``, in order of first appearance.
 
     They start after the largest id of the lookup, at 0 without one.
@@ -54,17 +53,16 @@ def new_ids(keys: DataFrame, lookup: DataFrame | None = None, *,
         seen = seen.join(lookup.select("key"), "key", "left_anti")
         largest = lookup.agg(F.coalesce(F.max("normalized_id"), F.lit(-1)).alias("largest"))
         base = largest.scalar() + F.lit(1)
-    numbered = skew.number_rows(seen, [], ["first"], "_nth", hot_rows=hot_rows)
+    numbered = skew.number_rows(seen, [], ["first"], "_nth")
     return numbered.select((F.col("_nth") + base).cast("long").alias("normalized_id"),
                            "original_id", "key")
 
 
-def assign_ids(keys: DataFrame, lookup: DataFrame | None = None, *,
-               hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def assign_ids(keys: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
     """The complete new version of a lookup: existing ids are kept, new keys follow."""
     if lookup is not None:
         lookup = once(lookup)
-    fresh = new_ids(keys, lookup, hot_rows=hot_rows)
+    fresh = new_ids(keys, lookup)
     return fresh if lookup is None else lookup.select(*LOOKUP_COLUMNS).unionByName(fresh)
 
 
@@ -72,10 +70,9 @@ def encode(ratings: DataFrame, column: str, lookup: DataFrame, *, fold: bool = F
            counts: DataFrame | None = None, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Replace the raw values of ``column`` by their ids; unknown values are dropped.
 
-    A lookup below the broadcast threshold is joined on the folded value of
-    each row. A larger one is first joined to the distinct spellings, and the
-    rows then meet their spelling in a balanced join. ``counts`` (original,
-    n_rows), as from :func:`raw_keys`, saves a pass over the rows.
+    The lookup is first joined to the distinct spellings, and the rows then
+    meet their spelling in a balanced join. ``counts`` (original, n_rows), as
+    from :func:`raw_keys`, saves a pass over the rows.
     """
     ids = lookup.select("key", F.col("normalized_id").alias("_id"))
     text = F.col(column).cast("string")
@@ -84,14 +81,11 @@ def encode(ratings: DataFrame, column: str, lookup: DataFrame, *, fold: bool = F
         return casefold(value) if fold else value
 
     spelled = ratings.withColumn("original", text)
-    if skew.is_broadcastable(ids):
-        joined = spelled.withColumn("key", key_of(text)).join(F.broadcast(ids), "key")
-    else:
-        if counts is None:
-            counts = skew.key_counts(spelled.filter(text.isNotNull()), ["original"])
-        known = counts.select("original", key_of(F.col("original")).alias("key")).join(ids, "key")
-        joined = skew.spread_join(spelled, known.select("original", "_id"), ["original"],
-                                  counts=counts.select("original", "n_rows"), hot_rows=hot_rows)
+    if counts is None:
+        counts = skew.key_counts(spelled.filter(text.isNotNull()), ["original"])
+    known = counts.select("original", key_of(F.col("original")).alias("key")).join(ids, "key")
+    joined = skew.spread_join(spelled, known.select("original", "_id"), ["original"],
+                              counts=counts.select("original", "n_rows"), hot_rows=hot_rows)
     return joined.withColumn(column, F.col("_id")).select(*ratings.columns)
 
 

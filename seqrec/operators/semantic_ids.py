@@ -33,13 +33,12 @@ def combine_sources(sources: Sequence[tuple[DataFrame, str | None]], *, first_wi
     return best.select("item_id", "_b.source", "_b.ord", "_b.embedding")
 
 
-def dedup_slots(coded: DataFrame, order: Sequence[str], *, cardinality: int | None = 256,
-                hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def dedup_slots(coded: DataFrame, order: Sequence[str], *, cardinality: int | None = 256) -> DataFrame:
     """Number the items that share a code tuple, in input order, as ``dedup_slot``.
 
     Reaching ``cardinality`` fails the job; None accepts any number.
     """
-    out = skew.number_rows(coded, ["codes"], order, "dedup_slot", hot_rows=hot_rows)
+    out = skew.number_rows(coded, ["codes"], order, "dedup_slot")
     if cardinality is None:
         return out
     if cardinality <= 0:
@@ -121,12 +120,10 @@ def sid_vectors(items: DataFrame, ids: Column, table: DataFrame, table_rows: int
     """
     usable = table.filter(F.col("emb_id").between(1, table_rows)) \
                   .select("emb_id", F.col("vector").cast(vectors.DOUBLES).alias("vector"))
-    small = (table_rows + 1) * dim * 8 <= 64 * 1024 * 1024
     rows = items.withColumns({"_ids": ids, "sid_vector": vectors.zeros(dim)})
     for layer in range(layers):
         keyed = rows.withColumn("emb_id", F.get("_ids", F.lit(layer)))
-        joined = (keyed.join(F.broadcast(usable), "emb_id", "left") if small
-                  else skew.spread_join(keyed, usable, ["emb_id"], "left"))
+        joined = skew.spread_join(keyed, usable, ["emb_id"], "left")
         rows = joined.withColumn("sid_vector", F.when(F.col("vector").isNull(), F.col("sid_vector"))
                                  .otherwise(F.zip_with("sid_vector", "vector", lambda a, b: a + b))
                                  ).drop("vector", "emb_id")

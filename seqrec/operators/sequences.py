@@ -19,10 +19,9 @@ from seqrec.session import once
 EVENT = ["item_id", "rating", "ts"]
 
 
-def positions(ratings: DataFrame, *, user: str = "user_id", order: Sequence[str] = ("ts", "ord"),
-              counts: DataFrame | None = None, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def positions(ratings: DataFrame, *, user: str = "user_id", order: Sequence[str] = ("ts", "ord")) -> DataFrame:
     """Add the zero-based chronological position ``pos`` of each event."""
-    return skew.number_rows(ratings, [user], order, "pos", counts=counts, hot_rows=hot_rows)
+    return skew.number_rows(ratings, [user], order, "pos")
 
 
 def min_length(ratings: DataFrame, minimum: int, *, user: str = "user_id",
@@ -107,11 +106,9 @@ def recent(ratings: DataFrame, keep: int, *, user: str = "user_id",
     return skew.top_per_group(ratings, [user], newest_first, keep, name)
 
 
-def offsets(lengths: DataFrame, *, key: str, length: str = "length",
-            hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def offsets(lengths: DataFrame, *, key: str, length: str = "length") -> DataFrame:
     """Exclusive running sum of the lengths in key order (jagged offsets)."""
-    ends = skew.running_totals(lengths, [], [key], {"end_offset": F.col(length)},
-                               hot_rows=hot_rows)
+    ends = skew.running_totals(lengths, [], [key], {"end_offset": F.col(length)})
     return ends.withColumn("start_offset", F.col("end_offset") - F.col(length))
 
 
@@ -141,14 +138,13 @@ def select_rows(df: DataFrame, wanted: DataFrame, key: str, *,
 
 
 def next_item_pairs(ratings: DataFrame, *, user: str = "user_id",
-                    order: Sequence[str] = ("ts", "ord"),
-                    hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+                    order: Sequence[str] = ("ts", "ord")) -> DataFrame:
     """Supervision pairs over whole histories: the event at pos predicts pos + 1.
 
     Events and their successors meet on (user, pos), which is unique, so a hot
     user is spread over all tasks. The last event has no pair.
     """
-    placed = once(positions(ratings, user=user, order=order, hot_rows=hot_rows))
+    placed = once(positions(ratings, user=user, order=order))
     current = placed.select(user, "pos", "item_id")
     following = placed.select(user, (F.col("pos") - 1).alias("pos"),
                               F.col("item_id").alias("next_item_id"),

@@ -1,17 +1,12 @@
 """Joins and running totals that stay balanced when one key holds much of the data.
 
-Two facts are used throughout. The ``max_keys`` heaviest keys are found with
-one pre-aggregated count and a top-n, so what is broadcast has at most
-``max_keys`` rows whatever the size of the data, and no key that is left out
-can hold more than one part in ``max_keys`` of the rows. And a group with more rows
-than ``hot_rows`` is split at sampled boundaries of its sort order, so no
-window ever holds a hot group in one task.
-
-Small inputs take the plain way, and smallness is checked: a table is joined
-by broadcast below Spark's own broadcast threshold, and a window is left whole
-when its input is no larger than one input split. An input that is read in
-several passes is written once before (``session.once``), so no pass repeats
-the work behind it.
+``spread_join`` answers the rows of every key above ``hot_rows`` rows from a
+broadcast and never shuffles them. There are at most ``rows / hot_rows`` such
+keys, whatever the data: that bounds the broadcast, and no key above
+``hot_rows`` is left to a single join task. ``running_totals`` sorts by range,
+so a group of any size is cut into as many ranges as the shuffle has
+partitions, and adds the totals of the ranges before. There is one form for
+every size of input; nothing is capped or sampled away.
 """
 
 from __future__ import annotations
@@ -22,12 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqrec.session import conf_bytes, once, plan_bytes
+from seqrec.session import cut_lineage
 
-MAX_HOT_KEYS = 1024
 HOT_ROWS = 1_000_000
-MAX_BUCKETS = 1024
-SAMPLES_PER_BUCKET = 32
 
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -35,197 +27,122 @@ def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def heavy_keys(counts: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS,
-               max_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """At most ``max_keys`` keys with more than ``hot_rows`` rows, heaviest first."""
-    return (
-        counts.filter(F.col("n_rows") > hot_rows)
-        .orderBy(F.desc("n_rows"), *keys)
-        .limit(max_keys)
-        .select(*keys, "n_rows")
-    )
-
-
-def is_broadcastable(df: DataFrame) -> bool:
-    """Whether the estimated size is within the broadcast threshold of the session."""
-    limit = conf_bytes(df.sparkSession, "spark.sql.autoBroadcastJoinThreshold", 10 * 1024 * 1024)
-    return plan_bytes(df) <= limit
-
-
-def is_one_split(df: DataFrame) -> bool:
-    """Whether the estimated size is that of a single input split at most."""
-    limit = conf_bytes(df.sparkSession, "spark.sql.files.maxPartitionBytes", 128 * 1024 * 1024)
-    return plan_bytes(df) <= limit
+def _all_known(keys: Sequence[str]) -> Column:
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    return known
 
 
 def spread_join(facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "inner", *,
-                counts: DataFrame | None = None, hot_rows: int = HOT_ROWS,
-                spread: int = 256) -> DataFrame:
+                counts: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join facts with a table that is unique on ``keys``, hot keys included.
 
-    A table below the broadcast threshold is broadcast. Otherwise the rows of
-    heavy keys are answered from a broadcast of at most ``MAX_HOT_KEYS`` rows.
-    They keep a null join key and a salt in the shuffled join, so they spread
-    evenly over its tasks; all other rows join there as usual. ``counts`` may
-    give known rows per key of the facts.
+    Three kinds of facts go three ways and are put together again: rows of keys
+    above ``hot_rows`` look up a broadcast of those keys' rows and stay where
+    they are; rows with a null key pass the join by; all others join as usual.
+    The facts are read once per way, so a costly input should be a written
+    table. ``counts`` may give known rows per key of the facts as ``n_rows``.
 
     ``how``: inner, left, left_semi or left_anti.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"unsupported join type {how}")
     keys = list(keys)
-    payload = [c for c in dim.columns if c not in keys]
     if how in {"left_semi", "left_anti"}:
-        dim, payload = dim.select(*keys), []
+        dim = dim.select(*keys)
+    payload = [c for c in dim.columns if c not in keys]
     clash = set(payload) & set(facts.columns)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
-
-    if not is_broadcastable(dim):
-        dim = once(dim)
-    if is_broadcastable(dim):
-        return facts.join(F.broadcast(dim), keys, how).select(*facts.columns, *payload)
-
+    out = [*facts.columns, *payload]
+    known = facts.filter(_all_known(keys))
     if counts is None:
-        facts = once(facts)
-        counts = key_counts(facts, keys)
-    heavy = heavy_keys(counts, keys, hot_rows).select(*keys)
-    values = F.struct(F.lit(True).alias("hit"), *payload)
-    keyed = dim.select(*keys, values.alias("_dim"))
-    hot = F.broadcast(
-        heavy.join(keyed, keys, "left").select(*keys, F.col("_dim").alias("_hot_dim"),
-                                               F.lit(True).alias("_hot"))
-    )
-    is_hot = F.col("_hot").isNotNull()
-    join_keys = [f"_key_{i}" for i in range(len(keys))]
-    tagged = facts.join(hot, keys, "left").select(
-        "*",
-        *[F.when(~is_hot, F.col(k)).alias(j) for k, j in zip(keys, join_keys)],
-        F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(spread)))
-        .otherwise(F.lit(0)).cast("int").alias("_salt"),
-    )
-    cold = keyed.select(*[F.col(k).alias(j) for k, j in zip(keys, join_keys)],
-                        F.lit(0).alias("_salt"), "_dim")
-    joined = tagged.join(cold, [*join_keys, "_salt"], "left")
-    match = F.when(is_hot, F.col("_hot_dim")).otherwise(F.col("_dim"))
-    joined = joined.select(*facts.columns, match.alias("_match"))
-    if how in {"inner", "left_semi"}:
-        joined = joined.filter(F.col("_match").isNotNull())
-    elif how == "left_anti":
-        joined = joined.filter(F.col("_match").isNull())
-    return joined.select(*facts.columns, *[F.col(f"_match.{c}").alias(c) for c in payload])
+        counts = key_counts(known, keys)
+    # at most rows / hot_rows keys
+    hot_keys = F.broadcast(counts.filter(F.col("n_rows") > hot_rows).select(*keys))
+    hot_dim = F.broadcast(dim.join(hot_keys, keys, "left_semi"))
+    hot = known.join(hot_keys, keys, "left_semi").join(hot_dim, keys, how).select(*out)
+    cold = known.join(hot_keys, keys, "left_anti").join(dim, keys, how).select(*out)
+    joined = hot.unionByName(cold)
+    if how in {"left", "left_anti"}:
+        kinds = dict(dim.dtypes)
+        unmatched = facts.filter(~_all_known(keys)).select(
+            *facts.columns, *[F.lit(None).cast(kinds[c]).alias(c) for c in payload])
+        joined = joined.unionByName(unmatched)
+    return joined
 
 
 def salted_anti_join(facts: DataFrame, dim: DataFrame, keys: Sequence[str], coarse: Sequence[str], *,
-                     hot_rows: int = HOT_ROWS, salts: int = 64) -> DataFrame:
+                     hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows of the facts without a match in ``dim``, for fine keys such as pairs.
 
     Counting fine keys would cost as much as the join. A key that is frequent
     makes its ``coarse`` part frequent too, and those are few and cheap to
-    count: the facts of the heavy ones (at most ``MAX_HOT_KEYS``) are salted
-    and their rows of ``dim`` repeated once per salt.
+    count: the facts of each coarse key above ``hot_rows`` are spread over one
+    salt per ``hot_rows`` rows, and its rows of ``dim`` are repeated once per
+    salt. Rows with a null key have no match and pass the join by.
     """
-    if not is_broadcastable(dim):
-        dim = once(dim)
-    if is_broadcastable(dim):
-        return facts.join(F.broadcast(dim), list(keys), "left_anti")
-    facts = once(facts)
-    heavy = heavy_keys(key_counts(facts, coarse), coarse, hot_rows)
-    heavy = F.broadcast(heavy.select(*coarse, F.lit(True).alias("_hot")))
-    is_hot = F.col("_hot").isNotNull()
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-    left = facts.join(heavy, list(coarse), "left").withColumn(
-        "_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = dim.join(heavy, list(coarse), "left").select(
-        *keys, F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))).alias("_salt"))
-    return left.join(right, [*keys, "_salt"], "left_anti").select(*facts.columns)
-
-
-def _bucket_of(bounds: Column, key: Column, steps: int) -> Column:
-    """Number of sorted ``bounds`` below ``key``, by binary search."""
-    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-
-    def step(state: Column, _: Column) -> Column:
-        middle = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
-        below = F.get(bounds, middle) < key
-        return F.when(
-            state["lo"] < state["hi"],
-            F.struct(F.when(below, middle + 1).otherwise(state["lo"]).alias("lo"),
-                     F.when(below, state["hi"]).otherwise(middle).alias("hi")),
-        ).otherwise(state)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["lo"])
-
-
-def _range_bounds(sample: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every 32nd sampled position per group, in order, as one array ``_bounds``."""
-    nth = F.row_number().over(W.partitionBy(*keys).orderBy("_at"))
-    picked = sample.withColumn("_nth", nth).filter(F.col("_nth") % SAMPLES_PER_BUCKET == 0)
-    return picked.groupBy(*keys).agg(F.array_sort(F.collect_list("_at")).alias("_bounds"))
-
-
-def _sampling_step(rows: Column, hot_rows: int) -> Column:
-    """Of how many rows one is sampled, for about 32 per range."""
-    buckets = F.least(F.lit(MAX_BUCKETS), F.ceil(rows / hot_rows) + 1)
-    return F.greatest(F.lit(1), F.floor(rows / (buckets * SAMPLES_PER_BUCKET)))
+    keys, coarse = list(keys), list(coarse)
+    known = facts.filter(_all_known(keys))
+    salts = F.ceil(F.col("n_rows") / F.lit(hot_rows)).cast("int").alias("_salts")
+    heavy = F.broadcast(key_counts(known, coarse).filter(F.col("n_rows") > hot_rows).select(*coarse, salts))
+    many = F.coalesce(F.col("_salts"), F.lit(1))
+    left = known.join(heavy, coarse, "left").withColumn(
+        "_salt", F.pmod(F.monotonically_increasing_id(), many).cast("int"))
+    right = dim.select(*keys).distinct().join(heavy, coarse, "left").select(
+        *keys, F.explode(F.sequence(F.lit(0), many - 1)).alias("_salt"))
+    kept = left.join(right, [*keys, "_salt"], "left_anti").select(*facts.columns)
+    return kept.unionByName(facts.filter(~_all_known(keys)))
 
 
 def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str],
-                   totals: Mapping[str, Column], *, counts: DataFrame | None = None,
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+                   totals: Mapping[str, Column]) -> DataFrame:
     """Add inclusive running sums per group in ascending ``order``.
 
-    The order must be total within a group. Groups above ``hot_rows`` rows are
-    cut into ranges of their order: each range is summed on its own and the
-    sums of the ranges before it are added, so the work of a hot group is
-    spread and the result is the same. With no ``group`` the whole table is
-    one group.
+    The order must be total within a group. The rows are dealt out by ranges of
+    (group, order) and written once, with the number of their range. Sums run
+    within a range; what the ranges before hold of a group that began there is
+    added. At most one group goes on from one range into the next, so the added
+    sums have at most one row per range: a broadcast of a proven size. With no
+    ``group`` the whole table is one group.
     """
     keys, order, plain = list(group), list(order), list(df.columns)
-    if not is_one_split(df):
-        df = once(df)
-    if is_one_split(df):
-        whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.select(*plain, *[F.sum(v).over(whole).alias(n) for n, v in totals.items()])
-
-    rank_key = F.struct(*[F.col(c) for c in order])
-    chosen = F.xxhash64(*order)
-    if keys:
-        if counts is None:
-            counts = key_counts(df, keys)
-        heavy = F.broadcast(heavy_keys(counts, keys, hot_rows))
-        sample = df.select(*dict.fromkeys([*keys, *order])).join(heavy, keys).filter(
-            F.pmod(chosen, _sampling_step(F.col("n_rows"), hot_rows)) == 0)
-        bounds = once(_range_bounds(sample.select(*keys, rank_key.alias("_at")), keys))
-        placed = df.join(F.broadcast(bounds), keys, "left")
-    else:
-        rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-        sample = df.filter((rows > hot_rows) & (F.pmod(chosen, _sampling_step(rows, hot_rows)) == 0))
-        bounds = once(_range_bounds(sample.select(rank_key.alias("_at")), []))
-        placed = df.withColumn("_bounds", F.nullif(bounds.scalar(), F.array()))
-    placed = placed.withColumn("_bucket", F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(
-        _bucket_of(F.col("_bounds"), rank_key, 14)))
-    within = W.partitionBy(*keys, "_bucket").orderBy(*order)
-    running = within.rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = placed.select(*plain, "_bucket",
-                          *[F.sum(v).over(running).alias(f"_local_{n}") for n, v in totals.items()])
-
-    # one row per range of a hot group: at most MAX_HOT_KEYS * MAX_BUCKETS rows
-    sums = placed.filter(F.col("_bounds").isNotNull()).groupBy(*keys, "_bucket").agg(
-        *[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()])
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "_bucket", *[F.sum(f"_sum_{n}").over(before).alias(f"_before_{n}")
-                                              for n in totals])
-    out = local.join(F.broadcast(offsets), [*keys, "_bucket"], "left")
+    placed = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    running = W.partitionBy("_part", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = placed.select(*plain, "_part", *[F.sum(v).over(running).alias(f"_local_{n}") for n, v in totals.items()])
+    sums = placed.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()])
+    edge = (sums.groupBy("_part").agg(F.max(F.struct(*keys, "_part")).alias("last"),
+                                      F.min(F.struct(*keys, "_part")).alias("first")))
+    offsets = _offsets(sums, edge, keys, list(totals))
+    same = F.col("_part") == F.col("_at_part")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_at_{key}"))
+    out = local.join(F.broadcast(offsets), same, "left")
     return out.select(*plain, *[
         (F.col(f"_local_{n}") + F.coalesce(F.col(f"_before_{n}"), F.lit(0))).alias(n) for n in totals])
 
 
-def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, *,
-                counts: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _offsets(sums: DataFrame, edge: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Totals of the ranges before, for the group that each range goes on with.
+
+    Only the first and the last group of a range can be cut, so two rows per
+    range are enough, however many groups there are.
+    """
+    ends = edge.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("at")).select("at.*")
+    on = F.col("s._part") == F.col("e._part")
+    for key in keys:
+        on = on & F.col(f"s.{key}").eqNullSafe(F.col(f"e.{key}"))
+    cut = sums.alias("s").join(F.broadcast(ends).alias("e"), on, "left_semi")
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    placed = cut.select(*[F.col(k).alias(f"_at_{k}") for k in keys], F.col("_part").alias("_at_part"),
+                        *[F.sum(f"_sum_{n}").over(before).alias(f"_before_{n}") for n in names])
+    return placed.filter(F.coalesce(*[F.col(f"_before_{n}") for n in names]).isNotNull())
+
+
+def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Add a zero-based running number per group as ``name``."""
-    numbered = running_totals(df, group, order, {name: F.lit(1)}, counts=counts, hot_rows=hot_rows)
+    numbered = running_totals(df, group, order, {name: F.lit(1)})
     return numbered.withColumn(name, F.col(name) - 1)
 
 

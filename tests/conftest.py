@@ -31,12 +31,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF_DIR
-
-
-@pytest.fixture
-def no_shortcuts(monkeypatch):
-    """Every table counts as large."""
-    from seqrec.operators import skew
-
-    monkeypatch.setattr(skew, "is_broadcastable", lambda df: False)
-    monkeypatch.setattr(skew, "is_one_split", lambda df: False)

@@ -172,7 +172,7 @@ def test_ids_do_not_depend_on_partitions(spark, no_shortcuts, partitions):
     try:
         df = spark.range(0, 3000, 1, partitions).select(
             F.pmod(F.xxhash64("id"), F.lit(700)).cast("string").alias("k"), F.col("id").alias("ord"))
-        got = ids.assign_ids(ids.raw_keys(df, "k", ["ord"]), hot_rows=50)
+        got = ids.assign_ids(ids.raw_keys(df, "k", ["ord"]))
         numbers = {r["original_id"]: r["normalized_id"] for r in got.collect()}
         order = [r["k"] for r in df.orderBy("ord").collect()]
     finally:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqrec.functions import text
 from seqrec.operators import skew
-from seqrec.session import conf_bytes, cut_lineage
+from seqrec.session import conf_bytes
 
 rng = random.Random(7)
 ROWS = [("hot" if rng.random() < 0.4 else f"u{rng.randrange(40)}", rng.randrange(50), i, rng.randrange(9))
@@ -20,11 +20,9 @@ def facts(spark):
     return spark.createDataFrame(ROWS, "user string, ts long, ord long, v long").repartition(5)
 
 
-@pytest.mark.parametrize("hot_rows", [30, 10**6])
 @pytest.mark.parametrize("group", [["user"], []])
-def test_running_totals_equal_a_loop(facts, no_shortcuts, hot_rows, group):
-    got = skew.running_totals(facts, group, ["ts", "ord"], {"n": F.lit(1), "s": F.col("v")},
-                              hot_rows=hot_rows).collect()
+def test_running_totals_equal_a_loop(facts, group):
+    got = skew.running_totals(facts, group, ["ts", "ord"], {"n": F.lit(1), "s": F.col("v")}).collect()
     seen, expected = {}, {}
     for user, ts, ord_, v in sorted(ROWS, key=lambda r: (r[1], r[2])):
         n, s = seen.get(user if group else None, (0, 0))
@@ -33,24 +31,51 @@ def test_running_totals_equal_a_loop(facts, no_shortcuts, hot_rows, group):
     assert {r["ord"]: (r["n"], r["s"]) for r in got} == expected
 
 
-def test_small_tables_take_the_plain_way(spark, facts):
-    facts = cut_lineage(facts)
-    total = skew.running_totals(facts, ["user"], ["ts", "ord"], {"n": F.lit(1)})
-    assert "_bucket" not in total._jdf.queryExecution().toString()
-    dim = spark.createDataFrame([("hot", 1)], "user string, w long")
-    joined = skew.spread_join(facts, cut_lineage(dim), ["user"])
-    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+def test_running_totals_with_null_groups_and_small_groups(spark):
+    rows = [(None if i % 3 == 0 else f"g{i % 500}", i, i % 7) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, at long, v long").repartition(7)
+    got = skew.running_totals(df, ["g"], ["at"], {"s": F.col("v")}).collect()
+    seen, expected = {}, {}
+    for g, at, v in rows:
+        seen[g] = seen.get(g, 0) + v
+        expected[at] = seen[g]
+    assert {r["at"]: r["s"] for r in got} == expected
+
+
+def rows_per_task(df):
+    return sorted(len(p) for p in df.rdd.glom().collect())
+
+
+def test_hot_group_is_cut_into_ranges(spark, facts):
+    """A group of 40 % of the rows may not stay in one window task."""
+    with adaptive_off(spark):
+        numbered = skew.number_rows(facts, ["user"], ["ts", "ord"], "n")
+        sizes = rows_per_task(numbered.filter(F.col("user") == "hot"))
+    assert sizes[-1] < 0.7 * sum(sizes)
+
+
+class adaptive_off:
+    """Neither re-planning nor automatic broadcasts; 16 shuffle partitions."""
+
+    OFF = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+           "spark.sql.shuffle.partitions": "16"}
 
+    def __init__(self, spark):
+        self.spark = spark
 
-def test_hot_group_is_cut_into_ranges(facts, no_shortcuts):
-    """A hot group may not stay in one window partition."""
-    plan = skew.running_totals(facts, ["user"], ["ts", "ord"], {"n": F.lit(1)}, hot_rows=30)
-    assert "_bucket" in plan._jdf.queryExecution().toString()
+    def __enter__(self):
+        self.before = {k: self.spark.conf.get(k) for k in self.OFF}
+        for k, v in self.OFF.items():
+            self.spark.conf.set(k, v)
+
+    def __exit__(self, *_):
+        for k, v in self.before.items():
+            self.spark.conf.set(k, v)
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("hot_rows", [50, 10**6])
-def test_spread_join_equals_plain_join(spark, facts, no_shortcuts, how, hot_rows):
+def test_spread_join_equals_plain_join(spark, facts, how, hot_rows):
     dim = spark.createDataFrame([("hot", 1), *[(f"u{i}", i) for i in range(0, 60, 2)]],
                                 "user string, w long")
     got = skew.spread_join(facts, dim, ["user"], how, hot_rows=hot_rows)
@@ -58,11 +83,43 @@ def test_spread_join_equals_plain_join(spark, facts, no_shortcuts, how, hot_rows
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
-def test_spread_join_keeps_null_keys_of_the_left_side(spark, no_shortcuts):
+@pytest.mark.parametrize("how", ["left", "left_anti"])
+def test_spread_join_keeps_null_keys_of_the_left_side(spark, how):
     left = spark.createDataFrame([(None, 1), ("a", 2)], "k string, v int")
     right = spark.createDataFrame([("a", 5)], "k string, w int")
-    got = skew.spread_join(left, right, ["k"], "left", hot_rows=0).collect()
-    assert sorted((r["v"], r["w"]) for r in got if r["w"]) == [(2, 5)] and len(got) == 2
+    got = skew.spread_join(left, right, ["k"], how, hot_rows=0).collect()
+    assert sorted(r["v"] for r in got) == ([1, 2] if how == "left" else [1])
+
+
+@pytest.mark.parametrize("hot_keys", [1, 25, 5000])
+def test_hot_rows_are_spread_over_all_tasks(spark, hot_keys):
+    """Without broadcasts by size and without AQE, no task holds over twice the mean."""
+    n = 40_000
+    facts = spark.range(n, numPartitions=16).select((F.col("id") % hot_keys).alias("k"), "id")
+    dim = spark.range(hot_keys).select(F.col("id").alias("k"), (F.col("id") + 1).alias("w"))
+    with adaptive_off(spark):
+        sizes = rows_per_task(skew.spread_join(facts, dim, ["k"], hot_rows=n // hot_keys - 1))
+    assert sum(sizes) == n and sizes[-1] <= 2 * n / 16
+
+
+def test_null_keys_are_spread_over_all_tasks(spark):
+    n = 20_000
+    facts = spark.range(n, numPartitions=16).select(F.lit(None).cast("long").alias("k"), "id")
+    dim = spark.range(5).select(F.col("id").alias("k"), F.col("id").alias("w"))
+    with adaptive_off(spark):
+        sizes = rows_per_task(skew.spread_join(facts, dim, ["k"], "left"))
+        anti = rows_per_task(skew.salted_anti_join(facts.withColumn("j", F.col("id")),
+                                                   dim.select("k", F.col("w").alias("j")), ["k", "j"], ["k"]))
+    assert sum(sizes) == sum(anti) == n
+    assert sizes[-1] <= 2 * n / 16 and anti[-1] <= 2 * n / 16
+
+
+@pytest.mark.parametrize("hot_rows", [30, 10**6])
+def test_salted_anti_join_equals_plain_join(spark, facts, hot_rows):
+    dim = spark.createDataFrame([("hot", i) for i in range(0, 50, 2)], "user string, ts long")
+    got = skew.salted_anti_join(facts, dim, ["user", "ts"], ["user"], hot_rows=hot_rows)
+    want = facts.join(dim, ["user", "ts"], "left_anti").select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_top_per_group_limits_before_the_shuffle(facts):
