@@ -9,7 +9,8 @@ The smallest sum wins.
 
 Three code points of 21 bits fit a 64-bit number, so n-grams are counted as
 exact numbers, without hashing. Counting a text goes in blocks: memory is
-bounded by the block and the distinct n-grams, however long the text.
+bounded by the block and the distinct n-grams, however long the text; a word
+that a block's end cuts counts as two.
 
 Defined cases: null texts and texts without a letter get the language ``und``
 and score 0; equal counts rank the n-gram with the smaller number first; equal

@@ -3,7 +3,8 @@
 Rows of each source are shuffled by a seeded hash and ranked. A row's
 fractional rank, its rank as a part of its source, says where in a perfectly
 mixed stream it belongs; sorted by it, every stretch of the stream has the
-mixture of the whole. The stream is cut into shards whose row counts differ by
+mixture of the whole: of each source, its part up to one row, and one more for
+each other source by which the cuts may shift. The stream is cut into shards whose row counts differ by
 one at most.
 
 Both rankings are range sorts: rows are dealt out by ranges of the order,
