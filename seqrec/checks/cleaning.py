@@ -9,35 +9,38 @@ from seqrec.plans import views
 
 
 def _text_ratings(spark, sf_dir):
-    """Interactions with their numbers as text, some of it not numeric."""
+    """Interactions with their numbers as text, some of it no number, or none that fits."""
     line = F.col("ord.l_linenumber")
     return views.interactions(spark, sf_dir).select(
         "user_id", "item_id",
-        F.when(line % 7 == 0, "x").when(line % 5 == 0, "")
+        F.when(line % 7 == 0, "x").when(line % 5 == 0, "").when(line % 6 == 0, "NaN").when(line % 4 == 0, "4.5d")
         .otherwise(F.col("rating").cast("string")).alias("rating"),
-        F.when(F.col("ts") % 11 == 0, "soon").otherwise(F.col("ts").cast("string")).alias("ts"))
+        F.when(F.col("ts") % 11 == 0, "soon").when(F.col("ts") % 13 == 0, "1e30")
+        .when(F.col("ts") % 17 == 0, "9007199254740993").otherwise(F.col("ts").cast("string")).alias("ts"))
 
 
 _TEXT = f"""WITH {INTERACTIONS}, txt AS (
   SELECT user_id, item_id,
          CASE WHEN l_linenumber % 7 = 0 THEN 'x' WHEN l_linenumber % 5 = 0 THEN ''
+              WHEN l_linenumber % 6 = 0 THEN 'NaN' WHEN l_linenumber % 4 = 0 THEN '4.5d'
               ELSE CAST(rating AS VARCHAR) END AS rating,
-         CASE WHEN ts % 11 = 0 THEN 'soon' ELSE CAST(ts AS VARCHAR) END AS ts
-  FROM inter)"""
+         CASE WHEN ts % 11 = 0 THEN 'soon' WHEN ts % 13 = 0 THEN '1e30'
+              WHEN ts % 17 = 0 THEN '9007199254740993' ELSE CAST(ts AS VARCHAR) END AS ts
+  FROM inter),
+num AS (SELECT *, CASE WHEN NOT isnan(TRY_CAST(rating AS DOUBLE)) THEN TRY_CAST(rating AS DOUBLE) END AS r,
+  TRY_CAST(ts AS BIGINT) AS t FROM txt)"""
 
 
 @check(_TEXT + """
-SELECT user_id, item_id, TRY_CAST(rating AS DOUBLE) AS rating, TRY_CAST(ts AS BIGINT) AS ts
-FROM txt WHERE TRY_CAST(rating AS DOUBLE) IS NOT NULL AND TRY_CAST(ts AS BIGINT) IS NOT NULL""")
+SELECT user_id, item_id, r AS rating, t AS ts FROM num WHERE r IS NOT NULL AND t IS NOT NULL""")
 def ratings_lenient(spark, sf_dir):
     return clean.lenient_numbers(_text_ratings(spark, sf_dir), {"rating": "double", "ts": "long"})
 
 
 @check(_TEXT + """
-SELECT count(*) FILTER (TRY_CAST(rating AS DOUBLE) IS NULL) AS invalid_rating,
-       count(*) FILTER (TRY_CAST(ts AS DOUBLE) IS NULL) AS invalid_ts FROM txt""")
+SELECT count(*) FILTER (r IS NULL) AS invalid_rating, count(*) FILTER (t IS NULL) AS invalid_ts FROM num""")
 def ratings_invalid_counts(spark, sf_dir):
-    return clean.invalid_numbers(_text_ratings(spark, sf_dir), ["rating", "ts"])
+    return clean.invalid_numbers(_text_ratings(spark, sf_dir), {"rating": "double", "ts": "long"})
 
 
 @check(f"WITH {INTERACTIONS} SELECT user_id, item_id, rating, ts FROM inter")

@@ -187,14 +187,14 @@ def truncated_vectors(spark, sf_dir):
 
 
 def _positives(spark, sf_dir):
-    """The ten newest events of each user, addressed by their age."""
-    return sequences.recent(views.interactions(spark, sf_dir), 10).select(
-        "user_id", F.col("age").alias("pos"), (F.col("item_id") + 1).alias("item_id"))
+    """Every event that follows another one of its user, addressed by its position."""
+    placed = sequences.positions(views.interactions(spark, sf_dir)).filter(F.col("pos") > 0)
+    return placed.select("user_id", F.col("pos").cast("int").alias("pos"), (F.col("item_id") + 1).alias("item_id"))
 
 
-_POSITIVES = f"WITH {AGED}, positive AS (SELECT user_id, age AS pos, item_id + 1 AS item_id FROM aged WHERE age <= 10)"
+_POSITIVES = f"WITH {AGED}, positive AS (SELECT user_id, pos, item_id + 1 AS item_id FROM aged WHERE pos > 0)"
 _UNIFORM = f"""{_POSITIVES}, neg AS (
-  SELECT user_id, pos, item_id, draw, 1 + {hash_number("concat('3|', user_id, '|', pos, '|', draw)")}
+  SELECT user_id, pos, item_id, draw, 1 + {hash_number("concat('3|', user_id, '|', pos, '|', draw)", 15)}
          % (SELECT count(*) FROM part) AS negative_id
   FROM (SELECT *, CAST(unnest(range(8)) AS INTEGER) AS draw FROM positive))"""
 
@@ -218,7 +218,7 @@ def negative_collisions(spark, sf_dir):
   SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS slot
   FROM (SELECT DISTINCT item_id FROM inter)),
 d AS (SELECT user_id, pos, positive.item_id, draw,
-        {hash_number("concat('5|', user_id, '|', pos, '|', draw)")} % (SELECT count(*) FROM u) AS slot
+        {hash_number("concat('5|', user_id, '|', pos, '|', draw)", 15)} % (SELECT count(*) FROM u) AS slot
       FROM (SELECT *, CAST(unnest(range(4)) AS INTEGER) AS draw FROM positive) AS positive)
 SELECT user_id, pos, d.item_id, draw, u.item_id AS negative_id FROM d JOIN u USING (slot)""")
 def negatives_from_universe(spark, sf_dir):
@@ -227,12 +227,12 @@ def negatives_from_universe(spark, sf_dir):
 
 
 @check(f"""{_POSITIVES}, b AS (
-  SELECT *, {hash_number("concat('batch|', '9|', user_id)")} % 6 AS batch FROM positive),
+  SELECT *, {hash_number("concat('batch|', '9|', user_id)", 15)} % 6 AS batch FROM positive),
 pool AS (SELECT batch, item_id AS negative_id,
                 row_number() OVER (PARTITION BY batch ORDER BY item_id) - 1 AS slot
          FROM (SELECT DISTINCT batch, item_id FROM b)),
 n AS (SELECT batch, count(*) AS size FROM pool GROUP BY batch),
-d AS (SELECT b.*, draw, {hash_number("concat('9|', user_id, '|', pos, '|', draw)")} % size AS slot
+d AS (SELECT b.*, draw, {hash_number("concat('9|', user_id, '|', pos, '|', draw)", 15)} % size AS slot
       FROM b JOIN n USING (batch), (SELECT CAST(unnest(range(4)) AS INTEGER) AS draw))
 SELECT batch, user_id, pos, item_id, draw, negative_id FROM d JOIN pool USING (batch, slot)""")
 def negatives_in_batch(spark, sf_dir):
@@ -240,11 +240,11 @@ def negatives_in_batch(spark, sf_dir):
 
 
 @check(f"""{_POSITIVES}, b AS (
-  SELECT *, {hash_number("concat('batch|', '9|', user_id)")} % 6 AS batch FROM positive),
+  SELECT *, {hash_number("concat('batch|', '9|', user_id)", 15)} % 6 AS batch FROM positive),
 pool AS (SELECT batch, item_id AS negative_id,
                 row_number() OVER (PARTITION BY batch ORDER BY item_id, user_id, pos) - 1 AS slot FROM b),
 n AS (SELECT batch, count(*) AS size FROM pool GROUP BY batch),
-d AS (SELECT b.*, draw, {hash_number("concat('9|', user_id, '|', pos, '|', draw)")} % size AS slot
+d AS (SELECT b.*, draw, {hash_number("concat('9|', user_id, '|', pos, '|', draw)", 15)} % size AS slot
       FROM b JOIN n USING (batch), (SELECT CAST(unnest(range(2)) AS INTEGER) AS draw))
 SELECT batch, user_id, pos, item_id, draw, negative_id FROM d JOIN pool USING (batch, slot)""")
 def negatives_in_batch_repeated(spark, sf_dir):
@@ -254,11 +254,11 @@ def negatives_in_batch_repeated(spark, sf_dir):
 
 @check(f"""{_UNIFORM}, {VECTORS}, s AS (
   SELECT neg.*, v, greatest(sqrt(list_inner_product(v, v)), 1e-6) AS n
-  FROM neg LEFT JOIN ivec ON ivec.item_id + 1 = negative_id WHERE draw < 2)
+  FROM neg LEFT JOIN ivec ON ivec.item_id + 1 = negative_id)
 SELECT user_id, pos, item_id, draw, negative_id, coalesce(round(v[1] / n, 6), 0.0) AS first_entry,
        coalesce(round(v[64] / n, 6), 0.0) AS last_entry FROM s""")
 def negative_vectors(spark, sf_dir):
-    drawn = _uniform(spark, sf_dir).filter(F.col("draw") < 2)
+    drawn = _uniform(spark, sf_dir)
     found = negatives.attach_normalized(drawn, shifted_vectors(spark, sf_dir), 64)
     return found.select("user_id", "pos", "item_id", "draw", "negative_id",
                         F.round(F.col("negative_embedding")[0], 6).alias("first_entry"),

@@ -51,9 +51,9 @@ VECTORS = """ivec AS (
   FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings))"""
 
 
-def hash_number(text: str) -> str:
-    """SQL for the first 8 hex digits of the md5 of ``text`` as a number."""
-    return f"CAST(concat('0x', substr(md5({text}), 1, 8)) AS BIGINT)"
+def hash_number(text: str, digits: int = 8) -> str:
+    """SQL for the first hex digits of the md5 of ``text`` as a number."""
+    return f"CAST(concat('0x', substr(md5({text}), 1, {digits})) AS BIGINT)"
 
 
 def vector_text(expression: str, digits: int = 6) -> str:

@@ -158,21 +158,27 @@ def combined_sources(spark, sf_dir):
 
 _LOOKUP = f"""lk AS (SELECT item_id AS vec_id, row_number() OVER (ORDER BY f) AS item_number FROM (
   SELECT item_id, min((ts, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS f
-  FROM inter WHERE item_id % 7 <> 0 GROUP BY item_id))"""
+  FROM inter WHERE ser_label = 1 GROUP BY item_id)), half AS (SELECT count(*) // 2 AS n FROM part)"""
 _STATUS = f"""{CODED}, {INTERACTIONS}, {_LOOKUP}, st AS (
   SELECT vec_id, code_text, codes, item_number,
-    CASE WHEN item_number IS NULL THEN 'missing' WHEN item_number > 400 THEN 'out_of_range' ELSE 'ok' END AS status
+    CASE WHEN item_number IS NULL THEN 'missing' WHEN item_number > (SELECT n FROM half) THEN 'out_of_range' ELSE 'ok' END AS status
   FROM coded LEFT JOIN lk USING (vec_id))"""
 
 
-def _coded_lookup(spark, sf_dir):
-    """Codes joined to the ids of rated items; a seventh of the items is left out."""
-    rated = views.interactions(spark, sf_dir).filter(F.col("item_id") % 7 != 0)
+def _coded_lookup(spark, sf_dir, respelled=False):
+    """Codes joined to the ids of returned items, half as many as there are parts.
+
+    ``respelled`` adds every item in another spelling, with its codes reversed.
+    """
+    rated = views.interactions(spark, sf_dir).filter(F.col("ser_label") == 1)
+    size = views.table(spark, sf_dir, "part").agg(F.floor(F.count(F.lit(1)) / 2).alias("n")).scalar()
     named = rated.withColumn("item_id", F.concat(F.lit("Item"), F.col("item_id").cast("string")))
     lookup = ids.assign_ids(ids.raw_keys(named, "item_id", ["ord"], fold=True))
     items = coded(spark, sf_dir).withColumn(
         "item_id", F.concat(F.lit("ITEM"), F.col("vec_id").cast("string")))
-    return semantic_ids.join_lookup(items, lookup, 400)
+    if respelled:
+        items = items.unionByName(items.withColumns({"item_id": F.lower("item_id"), "codes": F.reverse("codes")}))
+    return semantic_ids.join_lookup(items, lookup, size)
 
 
 @check(f"{_STATUS} SELECT vec_id, code_text AS codes, item_number, status FROM st")
@@ -182,15 +188,13 @@ def code_lookup(spark, sf_dir):
 
 
 @check(f"""{_STATUS}
-SELECT u.n AS item_id, coalesce(code_text, '0,0,0') AS codes, code_text IS NOT NULL AS has_sid
-FROM (SELECT unnest(range(1, 401)) AS n WHERE (SELECT count(*) FROM inter) > 0) u
-LEFT JOIN st ON st.status = 'ok' AND item_number = u.n
-WHERE u.n <= (SELECT max(p_partkey) + 1 FROM part)""")
+SELECT p_partkey + 1 AS item_id, coalesce(array_to_string(list_reverse(codes), ','), '0,0,0') AS codes,
+  codes IS NOT NULL AS has_sid
+FROM part LEFT JOIN st ON st.status = 'ok' AND item_number = p_partkey + 1""")
 def code_mask(spark, sf_dir):
-    """The codes of every item number, with a mask for those without."""
-    universe = views.table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("item_id")) \
-                    .filter(F.col("item_id") <= 400)
-    known = _coded_lookup(spark, sf_dir).filter(F.col("status") == "ok")
+    """The codes of every item number, with a mask for those without; of two spellings the last counts."""
+    universe = views.table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("item_id"))
+    known = _coded_lookup(spark, sf_dir, respelled=True).filter(F.col("status") == "ok")
     return semantic_ids.with_mask(universe, known, LAYERS).withColumn("codes", _code_text())
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,17 @@ def as_floats(vector: Column) -> Column:
     return vector.cast("array<float>")
 
 
+def as_matrix(lists: pa.Array) -> np.ndarray:
+    """Vectors as the rows of a matrix; a null, a null entry or another length is an error, not a shift."""
+    if len(lists) == 0:
+        return np.empty((0, 0))
+    lengths = pc.list_value_length(lists)
+    flat = lists.flatten()
+    if lists.null_count or flat.null_count or pc.min(lengths) != pc.max(lengths):
+        raise ValueError("vectors must be present, without null entries, and of one length")
+    return np.ascontiguousarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(len(lists), -1)
+
+
 def truncate(vector: Column, dim: int) -> Column:
     return F.slice(vector, 1, dim)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqrec.functions.text import casefold
@@ -30,26 +30,46 @@ def project(df: DataFrame, required: Sequence[str], extra: Sequence[str] = ()) -
     return require_columns(df, wanted).select(*wanted)
 
 
+# Fixed value: decimal numbers as the rating files write them.
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def number(df: DataFrame, name: str, kind: str) -> Column:
+    """A column as a number of the given type, null where it is none.
+
+    Texts must be written as decimal numbers (no NaN, no type suffix). Whole
+    numbers are read as such, so none is rounded; others are cut to whole
+    numbers where the type asks for it. What the type cannot hold is null.
+    """
+    column = F.col(name)
+    if dict(df.dtypes)[name] == "string":
+        column = F.trim(column)
+        column = F.when(column.rlike(NUMBER), column)
+    wide = column.try_cast("double")
+    wide = F.when(~F.isnan(wide), wide)
+    return wide.try_cast(kind) if kind in {"double", "float"} else F.coalesce(
+        F.when(~F.isnan(column.try_cast("double")), column.try_cast(kind)), wide.try_cast(kind))
+
+
 def strict_numbers(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Cast text columns; a value that is not a number fails the job when read."""
     checked = {}
     for name, kind in columns.items():
-        value = F.col(name).try_cast("double")
+        value = number(df, name, kind)
         fail = F.raise_error(F.concat(F.lit(f"column {name} is not numeric: "),
                                       F.coalesce(F.col(name).cast("string"), F.lit("null"))))
-        checked[name] = F.when(value.isNull(), fail.cast("double")).otherwise(value).cast(kind)
+        checked[name] = F.when(value.isNull(), fail.cast(kind)).otherwise(value)
     return df.withColumns(checked)
 
 
-def invalid_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with the number of non-numeric values per column."""
-    return df.agg(*[F.count_if(F.col(c).try_cast("double").isNull()).alias(f"invalid_{c}")
-                    for c in columns])
+def invalid_numbers(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """One row with the number of values per column that are no number of its type."""
+    return df.agg(*[F.count_if(number(df, c, k).isNull()).alias(f"invalid_{c}") for c, k in columns.items()])
 
 
 def lenient_numbers(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Cast text columns and drop the rows where any of them is not a number."""
-    cast = df.withColumns({n: F.col(n).try_cast("double").cast(k) for n, k in columns.items()})
+    cast = df.withColumns({n: number(df, n, k) for n, k in columns.items()})
     return cast.dropna(subset=list(columns))
 
 
@@ -60,7 +80,7 @@ def drop_incomplete(df: DataFrame, columns: Sequence[str] = ("rating", "ts")) ->
 def any_flag_label(df: DataFrame, flags: Sequence[str], name: str = "ser_label") -> DataFrame:
     """1 when any flag column says "true" in whatever case, else 0."""
     require_columns(df, flags)
-    is_true = [F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) == "true"
+    is_true = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "true"
                for c in flags]
     return df.withColumn(name, F.greatest(*is_true, F.lit(False)).cast("int"))
 

@@ -99,8 +99,7 @@ def encode_matrix(matrix: np.ndarray, codebooks: Sequence[np.ndarray],
 
 
 def _matrix(array: pa.ListArray) -> np.ndarray:
-    flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(array), -1) if len(array) else np.empty((0, 0))
+    return vectors.as_matrix(array)
 
 
 def _list_array(matrix: np.ndarray) -> pa.ListArray:
@@ -160,8 +159,11 @@ class _Layer:
 
     def pick(self, n: int, *salt: int) -> np.ndarray:
         """``n`` points in a repeatable random order of the ids (a distributed top-n)."""
-        order = F.xxhash64(*[F.lit(s) for s in (self.seed, *salt)], F.col(self.item))
-        rows = self.residuals.orderBy(order, self.item).limit(n).select("residual").collect()
+        order = F.xxhash64(*[F.lit(s) for s in (self.seed, *salt)], F.col(self.item)).alias("_order")
+        # ids first: only the chosen vectors reach the driver, not n of every task
+        chosen = self.residuals.select(self.item, order).orderBy("_order", self.item).limit(n)
+        rows = self.residuals.select(self.item, "residual").join(F.broadcast(chosen), self.item).collect()
+        rows.sort(key=lambda r: (r["_order"], r[self.item]))
         return np.asarray([r["residual"] for r in rows], dtype=np.float64)
 
     def sums(self, centroids: np.ndarray,
@@ -189,7 +191,8 @@ class _Layer:
                     names=["code", "n", "cost", "total"])
 
         source = self.residuals if part is None else part
-        partial = source.select("residual").mapInArrow(
+        # a task sends one row per code, so few tasks move few rows
+        partial = source.select("residual").coalesce(2 * self.context.defaultParallelism).mapInArrow(
             run, "code int, n long, cost double, total array<double>")
         rows = partial.select("code", "n", "cost", array_to_vector("total").alias("total")) \
             .groupBy("code").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"),
@@ -228,24 +231,28 @@ class _Layer:
 
     def mini_batch(self, centroids: np.ndarray, epochs: int, tolerance: float, batches: int,
                    shuffle: bool) -> tuple[np.ndarray, dict]:
-        """Running means with learning rate n_batch / n_total; batches by hash of the id."""
-        seen, shift = np.zeros(len(centroids)), np.inf
-        for epoch in range(epochs):
-            previous = centroids.copy()
-            salt = epoch if shuffle else 0
-            slot = F.pmod(F.xxhash64(F.lit(self.seed), F.lit(salt), F.col(self.item)),
-                          F.lit(batches))
-            for b in range(batches):
-                total, count, _ = self.sums(centroids, self.residuals.filter(slot == b))
-                active = np.flatnonzero(count)
-                seen[active] += count[active]
-                rate = (count[active] / seen[active])[:, None]
-                mean = total[active] / count[active][:, None]
-                centroids[active] = (1.0 - rate) * centroids[active] + rate * mean
-            shift = float(np.linalg.norm(centroids - previous, axis=1).mean())
-            if shift <= tolerance:
-                break
-        return centroids, {"iterations": epoch + 1, "shift": shift}
+        """A centroid is the mean of all points that any batch so far has given it.
+
+        The points are written once per dealing, in one folder per batch, so a
+        batch reads its own points only.
+        """
+        given, points, moved, done, dealt = np.zeros_like(centroids), np.zeros(len(centroids)), np.inf, 0, None
+        while done < epochs and moved > tolerance:
+            start, done = centroids, done + 1
+            if dealt is None or shuffle:
+                dealt = self.dealt(batches, done - 1 if shuffle else 0)
+            for batch in range(batches):
+                sums, counts, _ = self.sums(centroids, dealt.filter(F.col("_batch") == batch))
+                given, points = given + sums, points + counts
+                known = points[:, None] > 0
+                centroids = np.where(known, given / np.maximum(points, 1)[:, None], centroids)
+            moved = float(np.linalg.norm(centroids - start, axis=1).mean())
+        return centroids, {"iterations": done, "shift": moved}
+
+    def dealt(self, batches: int, salt: int) -> DataFrame:
+        """The residuals with their batch, a hash of the id, stored by batch."""
+        batch = F.pmod(F.xxhash64(F.lit(self.seed), F.lit(salt), F.col(self.item)), F.lit(batches)).cast("int")
+        return cut_lineage(self.residuals.withColumn("_batch", batch), partition_by=["_batch"])
 
 
 def _check(num_layers: int, codebook_size: int | Sequence[int], max_iterations: int,

@@ -18,8 +18,7 @@ Layer = tuple[Sequence[Sequence[float]], Sequence[float]]
 
 
 def _rows(vectors_of_batch: pa.Array) -> np.ndarray:
-    flat = vectors_of_batch.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(vectors_of_batch), -1)
+    return vectors.as_matrix(vectors_of_batch)
 
 
 def expert_logits(pairs: DataFrame, layers: Sequence[Layer], *, user_vector: str = "user_vector",

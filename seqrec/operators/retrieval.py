@@ -49,8 +49,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     values = column.combine_chunks()
     if isinstance(values, pa.ChunkedArray):
         values = pa.concat_arrays(values.chunks)
-    flat = values.flatten().to_numpy(zero_copy_only=False)
-    return np.ascontiguousarray(flat, dtype=np.float64).reshape(len(values), -1)
+    return vectors.as_matrix(values)
 
 
 def _best_in_block(queries: np.ndarray, excluded: list[np.ndarray] | None, ids: np.ndarray,
@@ -110,7 +109,8 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, *, user: str = "user_id"
         raise ValueError("k must be positive")
     if parallelism is None:
         parallelism = queries.sparkSession.sparkContext.defaultParallelism
-    queries, items = once(queries), once(items)
+    # a user or item without a vector has no score
+    queries, items = (once(t.filter(F.col("embedding").isNotNull())) for t in (queries, items))
     vector = F.col("embedding").cast(vectors.DOUBLES).alias("embedding")
     n = F.count(F.lit(1))
     fitting = F.ceil(F.sum(F.size("embedding")) * 8 / block_bytes)  # doubles

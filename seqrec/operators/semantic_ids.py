@@ -78,9 +78,15 @@ def join_lookup(coded: DataFrame, lookup: DataFrame, num_items: int | Column, *,
         .otherwise("ok")).drop("_id", "key")
 
 
-def with_mask(universe: DataFrame, coded: DataFrame, layers: int) -> DataFrame:
-    """Codes for the whole universe with ``has_sid``; items without codes get zeros."""
-    known = coded.select(F.col("item_number").alias("item_id"), F.col("codes").alias("_codes"))
+def with_mask(universe: DataFrame, coded: DataFrame, layers: int, *,
+              order: Sequence[str] = ("item_id",)) -> DataFrame:
+    """Codes for the whole universe with ``has_sid``; items without codes get zeros.
+
+    Of several coded rows with one item number (spellings that fold to one
+    key) the last in ``order`` counts.
+    """
+    known = coded.groupBy(F.col("item_number").alias("item_id")).agg(
+        F.max_by("codes", F.struct(*order)).alias("_codes"))
     joined = universe.select("item_id").join(known, "item_id", "left")
     empty = F.array_repeat(F.lit(0), layers)
     return joined.select("item_id", F.coalesce("_codes", empty).alias("codes"),

@@ -33,8 +33,7 @@ def min_length(ratings: DataFrame, minimum: int, *, user: str = "user_id",
     return skew.spread_join(ratings, enough, [user], "left_semi", counts=counts, hot_rows=hot_rows)
 
 
-def length_statistics(ratings: DataFrame, *, user: str = "user_id",
-                      exact_median: bool = True) -> DataFrame:
+def length_statistics(ratings: DataFrame, *, user: str = "user_id") -> DataFrame:
     """Shortest, longest, mean and median sequence length, from per-user counts.
 
     The median is taken over the distinct lengths (a histogram), so it is
@@ -43,8 +42,7 @@ def length_statistics(ratings: DataFrame, *, user: str = "user_id",
     """
     lengths = skew.key_counts(ratings, [user])
     histogram = lengths.groupBy("n_rows").agg(F.count(F.lit(1)).alias("users"))
-    median = (F.percentile("n_rows", F.lit(0.5), F.col("users")) if exact_median
-              else F.percentile_approx("n_rows", 0.5))
+    median = F.percentile("n_rows", F.lit(0.5), F.col("users"))
     users = F.sum("users")
     return histogram.agg(
         F.min("n_rows").alias("min_length"), F.max("n_rows").alias("max_length"),

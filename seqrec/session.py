@@ -6,8 +6,10 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 RECOMMENDED_CONF = {
@@ -51,7 +53,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
     Unlike a checkpointed row set, the table keeps column pruning and has a
@@ -60,10 +62,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_if_present(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The Parquet table at ``path``, or None if there is no such path; every other failure is one."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    try:
+        return reader.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 # Plan nodes that are cheap to repeat.
 REPEATABLE = {"Relation", "Project", "Filter", "LocalRelation", "LogicalRDD", "Range"}
 

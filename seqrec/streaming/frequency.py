@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
+
+from seqrec.session import read_if_present
 
 SCHEMA = "item_id long, last_pos long, gap double"
 
@@ -38,9 +39,8 @@ def probability(state: DataFrame) -> DataFrame:
 
 def read_state(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
     """Latest state per item over all batches, or those before a given one."""
-    try:
-        table = spark.read.schema(f"{SCHEMA}, batch long").parquet(root)
-    except AnalysisException:
+    table = read_if_present(spark, root, f"{SCHEMA}, batch long")
+    if table is None:
         return spark.createDataFrame([], SCHEMA)
     if before is not None:
         table = table.filter(F.col("batch") < before)

@@ -12,18 +12,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from seqrec.operators import ids
+from seqrec.session import read_if_present
 
 SCHEMA = "normalized_id long, original_id string, key string"
 
 
 def read_lookup(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
     """All ids, or those of the batches before a given one."""
-    try:
-        table = spark.read.schema(f"{SCHEMA}, batch long").parquet(root)
-    except AnalysisException:
+    table = read_if_present(spark, root, f"{SCHEMA}, batch long")
+    if table is None:
         return spark.createDataFrame([], SCHEMA)
     if before is not None:
         table = table.filter(F.col("batch") < before)

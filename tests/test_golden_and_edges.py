@@ -97,7 +97,7 @@ def test_bad_numbers(spark):
                                "rating string, ts string")
     kinds = {"rating": "double", "ts": "long"}
     assert [tuple(r) for r in clean.lenient_numbers(df, kinds).collect()] == [(4.5, 1)]
-    assert row(clean.invalid_numbers(df, list(kinds))) == {"invalid_rating": 3, "invalid_ts": 1}
+    assert row(clean.invalid_numbers(df, kinds)) == {"invalid_rating": 3, "invalid_ts": 1}
     with pytest.raises(Exception, match="not numeric"):
         clean.strict_numbers(df, kinds).collect()
 
@@ -120,7 +120,7 @@ def test_leaks_ignore_case_and_repeats(spark):
 
 
 @pytest.mark.parametrize("hot_rows", [1, 10**6])
-def test_leaks_with_a_hot_pair(spark, no_shortcuts, hot_rows):
+def test_leaks_with_a_hot_pair(spark, hot_rows):
     df = spark.range(500).select(
         F.when(F.col("id") < 200, "hot").otherwise(F.col("id").cast("string")).alias("user_id"),
         F.when(F.col("id") < 200, "i").otherwise(F.col("id").cast("string")).alias("item_id"), "id")
@@ -155,18 +155,16 @@ def test_incremental_ids_continue(spark):
     assert lookup_rows(ids.assign_ids(keys_of(spark, ["x"]), empty)) == [(0, "x")]
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_encode_drops_unknown_values(spark, request, small):
-    if not small:
-        request.getfixturevalue("no_shortcuts")
+@pytest.mark.parametrize("hot_rows", [0, 10**6])
+def test_encode_drops_unknown_values(spark, hot_rows):
     lookup = ids.assign_ids(keys_of(spark, ["a", "B"], fold=True))
     df = spark.createDataFrame([("A", 1), ("b", 2), ("zz", 3), (None, 4)], "k string, v int")
-    got = sorted(map(tuple, ids.encode(df, "k", lookup, fold=True).collect()))
+    got = sorted(map(tuple, ids.encode(df, "k", lookup, fold=True, hot_rows=hot_rows).collect()))
     assert got == [(0, 1), (1, 2)]
 
 
 @pytest.mark.parametrize("partitions", [1, 3, 8])
-def test_ids_do_not_depend_on_partitions(spark, no_shortcuts, partitions):
+def test_ids_do_not_depend_on_partitions(spark, partitions):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
