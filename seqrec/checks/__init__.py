@@ -4,6 +4,7 @@ from seqrec.checks import (  # noqa: F401
     cleaning,
     examples,
     features,
+    files,
     identifiers,
     jobs,
     losses,

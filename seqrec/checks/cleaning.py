@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from seqrec.checks.registry import INTERACTIONS, check
+from seqrec.checks.registry import INTERACTIONS, REGISTRY, check
 from seqrec.functions import text
 from seqrec.operators import clean
 from seqrec.plans import views
@@ -83,6 +83,13 @@ def min_presence(spark, sf_dir):
     return kept.select("user_id", "item_id", "rating", "ts")
 
 
+@check(REGISTRY["min_presence"].sql)
+def min_presence_balanced(spark, sf_dir):
+    """The same with the joins of a table in which every frequent key is a hot one."""
+    kept = clean.min_presence(views.interactions(spark, sf_dir), 30, hot_rows=20)
+    return kept.select("user_id", "item_id", "rating", "ts")
+
+
 @check(f"""WITH {INTERACTIONS},
 named AS (SELECT c_name AS user_id, CAST(item_id AS VARCHAR) AS item_id, rating, ts,
                  l_returnflag, l_linestatus
@@ -97,6 +104,12 @@ def leak_removal(spark, sf_dir):
     return kept.select("user_id", "item_id", "rating", "ts")
 
 
+@check(REGISTRY["leak_removal"].sql)
+def leak_removal_balanced(spark, sf_dir):
+    kept = clean.remove_leaks(views.named_interactions(spark, sf_dir), views.holdout_pairs(spark, sf_dir), hot_rows=20)
+    return kept.select("user_id", "item_id", "rating", "ts")
+
+
 @check(f"""WITH {INTERACTIONS}
 SELECT 'rating' AS column_name, 'double' AS type, CAST(min(rating) AS VARCHAR) AS min_value,
        CAST(max(rating) AS VARCHAR) AS max_value FROM inter

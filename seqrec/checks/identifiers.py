@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from seqrec.checks.registry import INTERACTIONS, ORDER, check
+from seqrec.checks.registry import INTERACTIONS, ORDER, REGISTRY, check
 from seqrec.operators import ids
 from seqrec.plans import views
 from seqrec.session import cut_lineage
@@ -112,6 +112,16 @@ def encode_ratings(spark, sf_dir):
     return encoded.select("user_id", "item_id", "rating", "ts")
 
 
+@check(REGISTRY["encode_ratings"].sql)
+def encode_ratings_balanced(spark, sf_dir):
+    """The same with every name of more than five rows treated as hot."""
+    rows = _mixed_names(spark, sf_dir)
+    users = cut_lineage(ids.assign_ids(ids.raw_keys(rows, "user_id", ["ord"], fold=True)))
+    items = cut_lineage(ids.assign_ids(ids.raw_keys(rows, "item_id", ["ord"])))
+    encoded = ids.encode(rows, "user_id", users, fold=True, hot_rows=5)
+    return ids.encode(encoded, "item_id", items, hot_rows=5).select("user_id", "item_id", "rating", "ts")
+
+
 @check(f"""WITH {INTERACTIONS}
 SELECT count(DISTINCT item_id) AS num_items, count(DISTINCT item_id) - 1 AS max_id FROM inter""")
 def item_statistics(spark, sf_dir):

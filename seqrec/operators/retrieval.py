@@ -115,8 +115,10 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, *, user: str = "user_id"
     n = F.count(F.lit(1))
     fitting = F.ceil(F.sum(F.size("embedding")) * 8 / block_bytes)  # doubles
     blocks = items.agg(F.greatest(F.lit(1), fitting).cast("int").alias("blocks")).scalar()
+    listed_size = F.coalesce(F.size(exclude), F.lit(0)) if exclude else F.lit(0)
+    with_lists = F.ceil(F.sum(F.size("embedding") + F.greatest(listed_size, F.lit(0))) * 8 / block_bytes)
     shards = queries.agg(F.greatest(
-        F.lit(1), fitting, F.least(F.lit(parallelism), F.ceil(n / SMALLEST_SHARD))).cast("int")
+        F.lit(1), with_lists, F.least(F.lit(parallelism), F.ceil(n / SMALLEST_SHARD))).cast("int")
         .alias("shards")).scalar()
 
     listed = [exclude] if exclude else []

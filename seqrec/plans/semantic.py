@@ -18,18 +18,25 @@ class SemanticIds:
     codes: DataFrame
 
 
-def run(texts: DataFrame, encoder: Callable[[DataFrame], DataFrame], *, num_layers: int,
+Texts = DataFrame | Sequence[tuple[DataFrame, str | None]]
+
+
+def run(texts: Texts, encoder: Callable[[DataFrame], DataFrame], *, num_layers: int,
         codebook_size: int | Sequence[int], cardinality: int | None = 256,
         store: Callable[[DataFrame], DataFrame] = cut_lineage, **fit_options) -> SemanticIds:
     """Embed (item_id, text), fit the quantizer, and assign codes with slots.
 
-    ``encoder`` maps texts to (item_id, embedding); ``store`` keeps the
-    vectors, which both later steps read.
+    ``texts`` is one table or several with a prefix for their ids. ``encoder``
+    maps texts to (item_id, embedding); ``store`` keeps the vectors, which both
+    later steps read. All rows of all sources are fitted; codes go to the first
+    occurrence of an id.
     """
-    table = store(encoder(texts))
-    model = quantizer.fit(table, num_layers=num_layers, codebook_size=codebook_size, **fit_options)
-    return SemanticIds(model, infer(model, [(table.withColumn("ord", F.col("item_id")), None)],
-                                    cardinality=cardinality))
+    named = [(texts, None)] if isinstance(texts, DataFrame) else list(texts)
+    sources = [(store(encoder(t)).withColumn("ord", F.col("item_id")), prefix) for t, prefix in named]
+    every = store(semantic_ids.combine_sources(sources, first_wins=False))
+    model = quantizer.fit(every.select("item_id", "embedding"), num_layers=num_layers, codebook_size=codebook_size,
+                          **fit_options)
+    return SemanticIds(model, infer(model, sources, cardinality=cardinality))
 
 
 def infer(model: quantizer.ResidualQuantizer, sources: Sequence[tuple[DataFrame, str | None]], *,

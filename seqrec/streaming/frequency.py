@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from seqrec.session import read_if_present
+from seqrec.streaming import state as tables
 
 SCHEMA = "item_id long, last_pos long, gap double"
 
@@ -39,11 +39,7 @@ def probability(state: DataFrame) -> DataFrame:
 
 def read_state(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
     """Latest state per item over all batches, or those before a given one."""
-    table = read_if_present(spark, root, f"{SCHEMA}, batch long")
-    if table is None:
-        return spark.createDataFrame([], SCHEMA)
-    if before is not None:
-        table = table.filter(F.col("batch") < before)
+    table = tables.read(spark, root, SCHEMA, before)
     latest = table.groupBy("item_id").agg(F.max_by(F.struct("last_pos", "gap"), "batch").alias("_s"))
     return latest.select("item_id", "_s.last_pos", "_s.gap")
 
@@ -52,8 +48,7 @@ def update_batch(batch: DataFrame, batch_id: int, root: str, *, alpha: float, ca
                  initial_gap: float = 1.0) -> None:
     """Write the changed items of one batch; a replay replaces its folder."""
     state = read_state(batch.sparkSession, root, before=batch_id)
-    update(batch, state, alpha=alpha, cap=cap, initial_gap=initial_gap) \
-        .write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    tables.write(update(batch, state, alpha=alpha, cap=cap, initial_gap=initial_gap), root, batch_id, read_state)
 
 
 def start(stream: DataFrame, *, root: str, checkpoint: str, alpha: float, cap: float,

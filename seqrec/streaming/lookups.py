@@ -1,8 +1,7 @@
 """Incremental ids for arriving interactions.
 
-Every micro-batch appends the keys it saw first under ``root/batch=<id>``.
-Its ids depend only on the batches before it, and the folder is replaced when
-a batch is replayed, so a restart gives the same table.
+Every micro-batch appends the keys it saw first (see ``state``). Its ids depend
+only on the batches before it.
 """
 
 from __future__ import annotations
@@ -10,30 +9,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seqrec.operators import ids
-from seqrec.session import read_if_present
+from seqrec.streaming import state
 
 SCHEMA = "normalized_id long, original_id string, key string"
 
 
 def read_lookup(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
     """All ids, or those of the batches before a given one."""
-    table = read_if_present(spark, root, f"{SCHEMA}, batch long")
-    if table is None:
-        return spark.createDataFrame([], SCHEMA)
-    if before is not None:
-        table = table.filter(F.col("batch") < before)
-    return table.select(*ids.LOOKUP_COLUMNS)
+    return state.read(spark, root, SCHEMA, before).select(*ids.LOOKUP_COLUMNS)
 
 
 def assign_batch(batch: DataFrame, batch_id: int, root: str, column: str, order: Sequence[str], *,
                  fold: bool = False) -> None:
     old = read_lookup(batch.sparkSession, root, before=batch_id)
     keys = ids.raw_keys(batch, column, order, fold=fold)
-    ids.new_ids(keys, old).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    state.write(ids.new_ids(keys, old), root, batch_id, read_lookup)
 
 
 def start(stream: DataFrame, column: str, order: Sequence[str], *, root: str, checkpoint: str,
