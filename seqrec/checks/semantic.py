@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from seqrec.checks.registry import INTERACTIONS, check, hash_number, vector_text, vector_units
+from seqrec.checks.registry import INTERACTIONS, VECTORS, check, hash_number, vector_text, vector_units
 from seqrec.functions import arrays
 from seqrec.operators import ids, item_text, quantizer, semantic_ids
 from seqrec.plans import views
@@ -55,10 +55,26 @@ def text_vectors_hashed(spark, sf_dir):
     return built.select("doc_id", vector_units(F.col("embedding"), 5).alias("embedding"))
 
 
-@check()
+def unit_sql(v: str) -> str:
+    return f"list_transform({v}, lambda x: x / greatest(sqrt(list_inner_product({v}, {v})), 1e-12))"
+
+
+def tfidf_sql(key: str, source: str, dim: int) -> str:
+    """Tables ending in ``z``: (key, w), w the bucket counts times the idf of their bucket."""
+    return f"""t AS (
+  SELECT {key}, unnest(string_split(trim(regexp_replace(lower(text), '{_SPACE}', ' ', 'g'), ' '), ' ')) AS term FROM {source}),
+c AS (SELECT {key}, {hash_number('term')} % {dim} AS b, count(*)::DOUBLE AS n FROM t GROUP BY ALL),
+idf AS (SELECT b, ln(((SELECT count(DISTINCT {key}) FROM c) + 1) / (count(*) + 1)) AS f FROM c GROUP BY b),
+z0 AS (SELECT {key}, map_from_entries(list((b, n * f))) AS m FROM c JOIN idf USING (b) GROUP BY {key}),
+z AS (SELECT {key}, list_transform(range({dim}), lambda i: coalesce(m[i], 0.0::DOUBLE)) AS w FROM z0)"""
+
+
+@check(f"""WITH {tfidf_sql('doc_id', 'documents', 64)}
+SELECT doc_id, {vector_text(unit_sql('w'), 5)} AS embedding FROM z""")
 def text_vectors_tfidf(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    return item_text.embed_tfidf(docs, 64)
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    built = item_text.embed_hashed(docs, 64, key="doc_id", idf=True)
+    return built.select("doc_id", vector_units(F.col("embedding"), 5).alias("embedding"))
 
 
 # Fixed codebooks: the first CODES vectors, the next CODES, ... (K x D numbers).
@@ -69,10 +85,6 @@ def codebooks(spark, sf_dir) -> list:
     return [matrix[i * CODES:(i + 1) * CODES] for i in range(LAYERS)]
 
 
-def _unit(v: str) -> str:
-    return f"list_transform({v}, lambda x: x / greatest(sqrt(list_inner_product({v}, {v})), 1e-12))"
-
-
 def _layer_sql(layer: int) -> str:
     source = f"r{layer}"
     return f"""b{layer} AS (SELECT vec_id - {layer * CODES} AS code, CAST(embedding AS DOUBLE[]) AS c
@@ -81,11 +93,11 @@ a{layer} AS (SELECT vec_id, codes, v, code, c FROM {source} CROSS JOIN b{layer}
   QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY
     list_sum(list_transform(v, lambda x, i: (x - c[i]) * (x - c[i]))), code) = 1),
 d{layer} AS (SELECT vec_id, list_append(codes, code) AS codes, list_transform(v, lambda x, i: x - c[i]) AS w FROM a{layer}),
-r{layer + 1} AS (SELECT vec_id, codes, {_unit('w')} AS v FROM d{layer})"""
+r{layer + 1} AS (SELECT vec_id, codes, {unit_sql('w')} AS v FROM d{layer})"""
 
 
 CODED = f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS w FROM embeddings),
-r0 AS (SELECT vec_id, CAST([] AS BIGINT[]) AS codes, {_unit('w')} AS v FROM e),
+r0 AS (SELECT vec_id, CAST([] AS BIGINT[]) AS codes, {unit_sql('w')} AS v FROM e),
 {', '.join(_layer_sql(i) for i in range(LAYERS))},
 coded AS (SELECT vec_id, codes, array_to_string(codes, ',') AS code_text FROM r{LAYERS})"""
 
@@ -240,20 +252,61 @@ def sid_vectors_combined(spark, sf_dir):
                        vector_units(F.col("weighted"), 5).alias("weighted"))
 
 
-@check()
-def quantizer_fit(spark, sf_dir):
-    """Codes of the item vectors from a fitted quantizer (checked by invariants in the tests)."""
-    table = views.item_vectors(spark, sf_dir)
-    model = quantizer.fit(table, num_layers=2, codebook_size=16, max_iterations=3, seed=11)
-    return model.quantize(table)
+def _nearest_sql(name: str, points: str, centroids: str) -> str:
+    """Each of ``points`` (item_id, v) with the code and the place of its nearest centroid."""
+    return f"""{name} AS (SELECT item_id, v, code, c FROM {points} CROSS JOIN {centroids}
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY
+    list_sum(list_transform(v, lambda x, i: (x - c[i]) * (x - c[i]))), code) = 1)"""
+
+
+def _mean_sql(name: str, assigned: str) -> str:
+    return f"""{name} AS (SELECT code, list(m ORDER BY d) AS c FROM (
+  SELECT code, d, avg(x) AS m FROM (SELECT code, unnest(v) AS x, unnest(range(len(v))) AS d FROM {assigned}) GROUP BY code, d)
+  GROUP BY code)"""
+
+
+def _first_sql(name: str, points: str, seed: int, layer: int, size: int) -> str:
+    return f"""{name} AS (SELECT row_number() OVER (ORDER BY md5('{seed}|{layer}|' || item_id), item_id) - 1 AS code, v AS c
+  FROM {points} QUALIFY code < {size})"""
+
 
+def fitted_sql(seed: int, sizes: list[int]) -> str:
+    """Layers fitted by two updates each, from the table q0 (item_id, v, codes)."""
+    parts = []
+    for i, size in enumerate(sizes):
+        parts += [_first_sql(f"f{i}", f"q{i}", seed, i, size), _nearest_sql(f"g{i}", f"q{i}", f"f{i}"), _mean_sql(f"h{i}", f"g{i}"),
+                  _nearest_sql(f"j{i}", f"q{i}", f"h{i}"), _mean_sql(f"k{i}", f"j{i}"), _nearest_sql(f"l{i}", f"q{i}", f"k{i}"),
+                  f"""w{i} AS (SELECT item_id, list_append(codes, code) AS codes, list_transform(q{i}.v, lambda x, n: x - c[n]) AS w
+  FROM l{i} JOIN q{i} USING (item_id)), q{i + 1} AS (SELECT item_id, codes, {unit_sql('w')} AS v FROM w{i})"""]
+    return ", ".join(parts)
 
-@check()
+
+_VECTOR_POINTS = f"""WITH {VECTORS}, raw AS (SELECT item_id, v AS w FROM ivec),
+q0 AS (SELECT item_id, CAST([] AS BIGINT[]) AS codes, {unit_sql('w')} AS v FROM raw)"""
+
+
+@check(f"""{_VECTOR_POINTS}, {fitted_sql(11, [12, 8])}
+SELECT item_id, array_to_string(codes, ',') AS codes FROM q2""")
+def quantizer_fit(spark, sf_dir):
+    """Codes of the item vectors from a quantizer fitted to them, two updates per layer."""
+    table = views.item_vectors(spark, sf_dir)
+    model = quantizer.fit(table, num_layers=2, codebook_size=[12, 8], max_iterations=1, seed=11)
+    return model.quantize(table).select("item_id", _code_text().alias("codes"))
+
+
+@check(f"""{_VECTOR_POINTS}, dealt AS (
+  SELECT *, {hash_number("'3|0|batch|' || item_id", 15)} % 2 AS batch FROM q0),
+{_first_sql('f', 'q0', 3, 0, 8)}, b0 AS (SELECT * FROM dealt WHERE batch = 0), b1 AS (SELECT * FROM dealt WHERE batch = 1),
+{_nearest_sql('g0', 'b0', 'f')}, {_mean_sql('m0', 'g0')},
+c1 AS (SELECT f.code, coalesce(m0.c, f.c) AS c FROM f LEFT JOIN m0 USING (code)),
+{_nearest_sql('g1', 'b1', 'c1')}, given AS (SELECT * FROM g0 UNION ALL SELECT * FROM g1), {_mean_sql('m1', 'given')},
+c2 AS (SELECT f.code, coalesce(m1.c, f.c) AS c FROM f LEFT JOIN m1 USING (code)), {_nearest_sql('done', 'q0', 'c2')}
+SELECT item_id, CAST(code AS VARCHAR) AS codes FROM done""")
 def quantizer_fit_mini_batch(spark, sf_dir):
+    """The same from running means over two batches."""
     table = views.item_vectors(spark, sf_dir)
-    model = quantizer.fit(table, num_layers=1, codebook_size=8, max_iterations=2, seed=3,
-                          mini_batches=3)
-    return model.quantize(table)
+    model = quantizer.fit(table, num_layers=1, codebook_size=8, max_iterations=1, seed=3, mini_batches=2)
+    return model.quantize(table).select("item_id", _code_text().alias("codes"))
 
 
 @check("""WITH p AS (

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from seqrec.functions import vectors
 from seqrec.functions.text import is_blank, normalize_space, strip
+from seqrec.session import cut_lineage
 
 # Separators of the text form, and the movie columns in order.
 SEPARATOR = " [SEP] "
@@ -109,8 +110,8 @@ def embed_tfidf(texts: DataFrame, dim: int) -> DataFrame:
         vector_to_array("_unit", "float32").alias("embedding"))
 
 
-def embed_hashed(texts: DataFrame, dim: int, *, key: str = "item_id") -> DataFrame:
-    """Term counts in ``dim`` md5 buckets, unit norm.
+def embed_hashed(texts: DataFrame, dim: int, *, key: str = "item_id", idf: bool = False) -> DataFrame:
+    """Term counts in ``dim`` md5 buckets, unit norm; with ``idf`` times ln((N + 1) / (texts with the bucket + 1)).
 
     Terms are counted per (text, bucket) with map-side combination, so a text
     of any length is reduced to at most ``dim`` rows before it is put together.
@@ -120,6 +121,12 @@ def embed_hashed(texts: DataFrame, dim: int, *, key: str = "item_id") -> DataFra
     digest = F.conv(F.substring(F.md5("_term"), 1, 8), 16, 10).cast("long")
     counts = terms.select(key, F.pmod(digest, F.lit(dim)).cast("int").alias("_bucket")) \
                   .groupBy(key, "_bucket").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    if idf:
+        counts = cut_lineage(counts)
+        size = counts.agg(F.count_distinct(key).alias("n")).scalar()
+        # at most ``dim`` rows
+        rare = counts.groupBy("_bucket").agg(F.ln((size + 1) / (F.count(F.lit(1)) + 1)).alias("_idf"))
+        counts = counts.join(F.broadcast(rare), "_bucket").withColumn("_n", F.col("_n") * F.col("_idf"))
     filled = counts.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("_bucket", "_n"))).alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),

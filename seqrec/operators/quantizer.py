@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqrec.functions import vectors
@@ -157,9 +157,13 @@ class _Layer:
         self.residuals, self.item, self.seed = residuals, item, seed
         self.context = residuals.sparkSession.sparkContext
 
+    def shuffled(self, *salt: int | str) -> Column:
+        """A repeatable random key of every id."""
+        return F.md5(F.concat_ws("|", F.lit(self.seed), *[F.lit(s) for s in salt], F.col(self.item).cast("string")))
+
     def pick(self, n: int, *salt: int) -> np.ndarray:
         """``n`` points in a repeatable random order of the ids (a distributed top-n)."""
-        order = F.xxhash64(*[F.lit(s) for s in (self.seed, *salt)], F.col(self.item)).alias("_order")
+        order = self.shuffled(*salt).alias("_order")
         # ids first: only the chosen vectors reach the driver, not n of every task
         chosen = self.residuals.select(self.item, order).orderBy("_order", self.item).limit(n)
         rows = self.residuals.select(self.item, "residual").join(F.broadcast(chosen), self.item).collect()
@@ -251,7 +255,8 @@ class _Layer:
 
     def dealt(self, batches: int, salt: int) -> DataFrame:
         """The residuals with their batch, a hash of the id, stored by batch."""
-        batch = F.pmod(F.xxhash64(F.lit(self.seed), F.lit(salt), F.col(self.item)), F.lit(batches)).cast("int")
+        number = F.conv(F.substring(self.shuffled(salt, "batch"), 1, 15), 16, 10).cast("long")
+        batch = F.pmod(number, F.lit(batches)).cast("int")
         return cut_lineage(self.residuals.withColumn("_batch", batch), partition_by=["_batch"])
 
 

@@ -82,6 +82,10 @@ def salted_anti_join(facts: DataFrame, dim: DataFrame, keys: Sequence[str], coar
     count: the facts of each coarse key above ``hot_rows`` are spread over one
     salt per ``hot_rows`` rows, and its rows of ``dim`` are repeated once per
     salt. Rows with a null key have no match and pass the join by.
+
+    The salt is a hash of the whole row: a task that runs again deals its rows
+    as before, whatever order they come in. Only rows equal in all columns
+    stay together.
     """
     keys, coarse = list(keys), list(coarse)
     known = facts.filter(_all_known(keys))
@@ -89,7 +93,7 @@ def salted_anti_join(facts: DataFrame, dim: DataFrame, keys: Sequence[str], coar
     heavy = F.broadcast(key_counts(known, coarse).filter(F.col("n_rows") > hot_rows).select(*coarse, salts))
     many = F.coalesce(F.col("_salts"), F.lit(1))
     left = known.join(heavy, coarse, "left").withColumn(
-        "_salt", F.pmod(F.monotonically_increasing_id(), many).cast("int"))
+        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c, kind in facts.dtypes if not kind.startswith("map")]), many).cast("int"))
     right = dim.select(*keys).distinct().join(heavy, coarse, "left").select(
         *keys, F.explode(F.sequence(F.lit(0), many - 1)).alias("_salt"))
     kept = left.join(right, [*keys, "_salt"], "left_anti").select(*facts.columns)

@@ -110,6 +110,10 @@ def test_null_keys_are_spread_over_all_tasks(spark):
         sizes = rows_per_task(skew.spread_join(facts, dim, ["k"], "left"))
         anti = rows_per_task(skew.salted_anti_join(facts.withColumn("j", F.col("id")),
                                                    dim.select("k", F.col("w").alias("j")), ["k", "j"], ["k"]))
+        hot = facts.select(F.lit(1).alias("k"), F.lit(2).alias("j"), "id")
+        pair = dim.select(F.lit(7).alias("k"), F.lit(2).alias("j"))
+        salted = rows_per_task(skew.salted_anti_join(hot, pair, ["k", "j"], ["k"], hot_rows=n // 200))
+    assert sum(salted) == n and salted[-1] <= 2 * n / 16
     assert sum(sizes) == sum(anti) == n
     assert sizes[-1] <= 2 * n / 16 and anti[-1] <= 2 * n / 16
 
