@@ -104,18 +104,23 @@ def min_presence(ratings: DataFrame, minimum: int, *, user: str = "user_id",
     return kept
 
 
+FOLDED = ["_fold_user", "_fold_item"]
+
+
+def folded(df: DataFrame, user: str = "user_id", item: str = "item_id") -> DataFrame:
+    """Add the case-folded ids, unless they are there."""
+    if set(FOLDED) <= set(df.columns):
+        return df
+    return df.withColumns({f: casefold(F.col(c).cast("string")) for f, c in zip(FOLDED, (user, item))})
+
+
 def remove_leaks(ratings: DataFrame, holdout: DataFrame, *, user: str = "user_id",
                  item: str = "item_id", hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Drop ratings whose case-folded (user, item) pair is in the hold-out."""
-    keys = ["_fold_user", "_fold_item"]
-
-    def folded(df: DataFrame) -> DataFrame:
-        return df.withColumns({"_fold_user": casefold(F.col(user).cast("string")),
-                               "_fold_item": casefold(F.col(item).cast("string"))})
-
-    pairs = folded(holdout).select(*keys).distinct()
-    kept = skew.salted_anti_join(folded(ratings), pairs, keys, keys[:1], hot_rows=hot_rows)
-    return kept.drop(*keys)
+    pairs = folded(holdout, user, item).select(*FOLDED).distinct()
+    # the rows are read more than once
+    facts = once(folded(ratings, user, item))
+    return skew.salted_anti_join(facts, pairs, FOLDED, FOLDED[:1], hot_rows=hot_rows).drop(*FOLDED)
 
 
 def column_status(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -139,12 +139,9 @@ def next_item_pairs(ratings: DataFrame, *, user: str = "user_id",
                     order: Sequence[str] = ("ts", "ord")) -> DataFrame:
     """Supervision pairs over whole histories: the event at pos predicts pos + 1.
 
-    Events and their successors meet on (user, pos), which is unique, so a hot
-    user is spread over all tasks. The last event has no pair.
+    Each event looks one row ahead within its range of the order, and across
+    the edge of a range where one cuts its user. The last event has no pair.
     """
-    placed = once(positions(ratings, user=user, order=order))
-    current = placed.select(user, "pos", "item_id")
-    following = placed.select(user, (F.col("pos") - 1).alias("pos"),
-                              F.col("item_id").alias("next_item_id"),
-                              F.col("rating").alias("next_rating"))
-    return current.join(following, [user, "pos"])
+    paired = skew.number_and_next(ratings, [user], order, "pos", ["item_id", "rating"])
+    return paired.filter(F.col("next_item_id").isNotNull()).select(
+        user, "pos", "item_id", "next_item_id", "next_rating")

@@ -111,37 +111,59 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str],
     sums have at most one row per range: a broadcast of a proven size. With no
     ``group`` the whole table is one group.
     """
-    keys, order, plain = list(group), list(order), list(df.columns)
+    return _over_ranges(df, list(group), list(order), totals, ())
+
+
+def number_and_next(df: DataFrame, group: Sequence[str], order: Sequence[str], number: str,
+                    following: Sequence[str]) -> DataFrame:
+    """Add a zero-based running number per group, and ``next_<c>`` of the row after it, null in the last row."""
+    out = _over_ranges(df, list(group), list(order), {number: F.lit(1)}, following)
+    return out.withColumn(number, F.col(number) - 1)
+
+
+def _over_ranges(df: DataFrame, keys: list[str], order: list[str], totals: Mapping[str, Column],
+                 following: Sequence[str]) -> DataFrame:
+    """Running totals and following values within ranges of the order, put together at their edges."""
+    plain, names = list(df.columns), list(totals)
     placed = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
-    running = W.partitionBy("_part", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = placed.select(*plain, "_part", *[F.sum(v).over(running).alias(f"_local_{n}") for n, v in totals.items()])
-    sums = placed.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()])
-    edge = (sums.groupBy("_part").agg(F.max(F.struct(*keys, "_part")).alias("last"),
-                                      F.min(F.struct(*keys, "_part")).alias("first")))
-    offsets = _offsets(sums, edge, keys, list(totals))
+    ordered = W.partitionBy("_part", *keys).orderBy(*order)
+    running = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
+    values = F.struct(*following) if following else F.lit(None)
+    local = placed.select(*plain, "_part", *[F.sum(v).over(running).alias(f"_local_{n}") for n, v in totals.items()],
+                          *([F.lead(values).over(ordered).alias("_next")] if following else []))
+    sums = placed.groupBy(*keys, "_part").agg(
+        *[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()],
+        *([F.min_by(values, F.struct(*order)).alias("_first")] if following else []))
+    edge = _edges(sums, keys, names, bool(following))
     same = F.col("_part") == F.col("_at_part")
     for key in keys:
         same = same & F.col(key).eqNullSafe(F.col(f"_at_{key}"))
-    out = local.join(F.broadcast(offsets), same, "left")
-    return out.select(*plain, *[
-        (F.col(f"_local_{n}") + F.coalesce(F.col(f"_before_{n}"), F.lit(0))).alias(n) for n in totals])
+    out = local.join(F.broadcast(edge), same, "left")
+    return out.select(
+        *plain, *[(F.col(f"_local_{n}") + F.coalesce(F.col(f"_before_{n}"), F.lit(0))).alias(n) for n in totals],
+        *[F.coalesce("_next", "_after")[c].alias(f"next_{c}") for c in following])
 
 
-def _offsets(sums: DataFrame, edge: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """Totals of the ranges before, for the group that each range goes on with.
+def _edges(sums: DataFrame, keys: list[str], names: list[str], following: bool) -> DataFrame:
+    """For the groups at the ends of each range: the totals of the ranges before, the first row of the range after.
 
     Only the first and the last group of a range can be cut, so two rows per
     range are enough, however many groups there are.
     """
-    ends = edge.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("at")).select("at.*")
+    ends = sums.groupBy("_part").agg(F.max(F.struct(*keys, "_part")).alias("last"),
+                                     F.min(F.struct(*keys, "_part")).alias("first"))
+    ends = ends.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("at")).select("at.*")
     on = F.col("s._part") == F.col("e._part")
     for key in keys:
         on = on & F.col(f"s.{key}").eqNullSafe(F.col(f"e.{key}"))
     cut = sums.alias("s").join(F.broadcast(ends).alias("e"), on, "left_semi")
-    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    by_range = W.partitionBy(*keys).orderBy("_part")
+    before = by_range.rowsBetween(W.unboundedPreceding, -1)
     placed = cut.select(*[F.col(k).alias(f"_at_{k}") for k in keys], F.col("_part").alias("_at_part"),
-                        *[F.sum(f"_sum_{n}").over(before).alias(f"_before_{n}") for n in names])
-    return placed.filter(F.coalesce(*[F.col(f"_before_{n}") for n in names]).isNotNull())
+                        *[F.sum(f"_sum_{n}").over(before).alias(f"_before_{n}") for n in names],
+                        *([F.lead("_first").over(by_range).alias("_after")] if following else []))
+    useful = F.coalesce(*[F.col(f"_before_{n}") for n in names]).isNotNull()
+    return placed.filter(useful | F.col("_after").isNotNull() if following else useful)
 
 
 def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

@@ -42,6 +42,24 @@ def test_running_totals_with_null_groups_and_small_groups(spark):
     assert {r["at"]: r["s"] for r in got} == expected
 
 
+@pytest.mark.parametrize("partitions", ["1", "3", "40"])
+def test_next_rows_across_ranges(spark, facts, partitions):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = skew.number_and_next(facts, ["user"], ["ts", "ord"], "n", ["ord", "v"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    by_user = {}
+    for row in sorted(ROWS, key=lambda r: (r[1], r[2])):
+        by_user.setdefault(row[0], []).append(row)
+    want = {}
+    for rows in by_user.values():
+        for n, (row, after) in enumerate(zip(rows, [*rows[1:], None])):
+            want[row[2]] = (n, after and after[2], after and after[3])
+    assert {r["ord"]: (r["n"], r["next_ord"], r["next_v"]) for r in got} == want
+
+
 def rows_per_task(df):
     return sorted(len(p) for p in df.rdd.glom().collect())
 
