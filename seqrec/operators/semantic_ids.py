@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from seqrec.functions import vectors
 from seqrec.functions.text import casefold
 from seqrec.operators import skew
+from seqrec.session import cut_lineage
+
+
+# Code vectors are part of a model; up to this measured size every task gets them all.
+MODEL_BYTES = 64 * 1024 * 1024
 
 
 def combine_sources(sources: Sequence[tuple[DataFrame, str | None]], *, first_wins: bool = True) -> DataFrame:
@@ -124,12 +129,15 @@ def sid_vectors(items: DataFrame, ids: Column, table: DataFrame, table_rows: int
     layer by layer from a broadcast, without a shuffle; beyond that with a
     balanced join.
     """
-    usable = table.filter(F.col("emb_id").between(1, table_rows)) \
-                  .select("emb_id", F.col("vector").cast(vectors.DOUBLES).alias("vector"))
+    usable = cut_lineage(table.filter(F.col("emb_id").between(1, table_rows))
+                         .select("emb_id", F.col("vector").cast(vectors.DOUBLES).alias("vector")))
+    fits = usable.count() * dim * 8 <= MODEL_BYTES
     rows = items.withColumns({"_ids": ids, "sid_vector": vectors.zeros(dim)})
     for layer in range(layers):
         keyed = rows.withColumn("emb_id", F.get("_ids", F.lit(layer)))
-        joined = skew.spread_join(keyed, usable, ["emb_id"], "left")
+        # the balanced join reads its input more than once
+        joined = (keyed.join(F.broadcast(usable), "emb_id", "left") if fits
+                  else skew.spread_join(cut_lineage(keyed), usable, ["emb_id"], "left"))
         rows = joined.withColumn("sid_vector", F.when(F.col("vector").isNull(), F.col("sid_vector"))
                                  .otherwise(F.zip_with("sid_vector", "vector", lambda a, b: a + b))
                                  ).drop("vector", "emb_id")
