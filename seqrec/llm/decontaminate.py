@@ -32,7 +32,6 @@ ids are reported as null.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,7 +43,7 @@ from pyspark.sql import functions as F
 from seqrec.llm import words
 from seqrec.llm.common import column, fresh
 
-MAX_EDITS = 0.15
+MAX_EDITS = 0.2
 RECALL = 0.95
 MIN_WORDS = 8
 SAMPLED = 4
@@ -139,6 +138,7 @@ class Index:
 
     ids: list
     items: list[np.ndarray]
+    vocabularies: list[frozenset]
     limits: list[int]
     # (walk, known beginnings, sorted keys, item of each key, offset of each key)
     tables: list[tuple[Walk, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]
@@ -175,27 +175,28 @@ def _edited(item: np.ndarray, edits: int, draw: np.random.Generator) -> np.ndarr
 def repetitions(items: list[np.ndarray], sizes: list[int], max_edits: float, recall: float) -> dict[int, int]:
     """For each window size, how many repetitions reach the recall at the largest distance.
 
-    Measured on at most 64 items of the size, edited up to their limit: the
-    share of repetitions that find a window of the edited copy.
+    Measured on at most 64 items of the size, edited up to their limit: each
+    one's share of repetitions that find a window of the edited copy. Items
+    differ, so the recall is the mean over the items, not that of a mean item.
     """
     out = {}
     for size in sorted({_size_of(len(i), sizes) for i in items}):
         chosen = [i for i in items if _size_of(len(i), sizes) == size][:64]
-        draw, hits, tries, rounds = np.random.default_rng([SEED, size]), 0, 0, 12
+        draw, rounds, missing = np.random.default_rng([SEED, size]), 16, []
         for item in chosen:
             text = _edited(item, int(max_edits * len(item)), draw)
             own, own_starts, own_ends, _, _ = _entries([0], [item], size)
             copy = _padded(text, 2 * size)
             shift = int(draw.integers(stride(size)))
-            starts = np.arange(shift, max(shift + 1, len(text) - size // 2), stride(size))
+            starts, hits = np.arange(shift, max(shift + 1, len(text) - size // 2), stride(size)), 0
             for repetition in range(rounds):
                 walk = Walk(size, repetition)
                 mine = walk.keys(own, own_starts, own_ends)[-1][1]
                 theirs = walk.keys(copy, starts, np.full(len(starts), len(text)))[-1][1]
                 hits += bool(np.isin(theirs, mine).any())
-                tries += 1
-        rate = min(0.99, max(hits / tries, 0.02))
-        out[size] = min(MAX_REPETITIONS, math.ceil(math.log(1 - recall) / math.log(1 - rate)))
+            missing.append(1 - (hits + 0.5) / (rounds + 1))
+        missed = np.array(missing)
+        out[size] = next((n for n in range(1, MAX_REPETITIONS) if (missed ** n).mean() <= 1 - recall), MAX_REPETITIONS)
     return out
 
 
@@ -223,7 +224,7 @@ def build_index(rows: list[tuple], max_edits: float = MAX_EDITS, recall: float =
             keys = levels[-1][1]
             order = np.argsort(keys, kind="stable")
             tables.append((walk, known, keys[order], owner[order], offset[order]))
-    return Index(ids, items, [int(max_edits * len(i)) for i in items], tables)
+    return Index(ids, items, [frozenset(i.tolist()) for i in items], [int(max_edits * len(i)) for i in items], tables)
 
 
 def _candidates(index: Index, found: words.Words) -> set[tuple[int, int, int]]:
@@ -260,6 +261,9 @@ def matches(index: Index, texts: pa.Array) -> list[list[dict]]:
             limit, n = index.limits[item], len(index.items[item])
             # the item may begin and end up to the limit earlier or later than its window says
             low, high = max(first, at - 2 * limit), min(last, at + n + 2 * limit)
+            # every word of the item that is not there costs an edit
+            if len(index.vocabularies[item].difference(found.hashes[low:high].tolist())) > limit:
+                continue
             edits, end = edit_distance(index.items[item], found.hashes[low:high])
             if edits <= limit:
                 place = (edits, low + end - first, n)

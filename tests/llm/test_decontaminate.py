@@ -67,7 +67,7 @@ def test_recall_and_precision_against_brute_force():
     items = [prose(rng.randrange(8, 70)) for _ in range(120)]
     index = decontaminate.build_index([(i, " ".join(t)) for i, t in enumerate(items)])
     found = wanted = 0
-    for share in (0.0, 0.05, 0.1, 0.15):
+    for share in (0.0, 0.05, 0.1, 0.15, 0.2):
         texts = []
         for item in items:
             text, at = prose(150), rng.randrange(150)
