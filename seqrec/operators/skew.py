@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from seqrec.session import cut_lineage
 
 HOT_ROWS = 1_000_000
+PARTS = 64
 
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -178,8 +179,14 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
     Spark limits each group before the shuffle as well as after it (the window
     group limit), so a hot group sends at most ``k`` rows per input task. It
-    does so up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000);
-    raise that setting for a larger ``k``.
+    does so up to ``spark.sql.optimizer.windowGroupLimitThreshold``; beyond it
+    each group is first limited in ``PARTS`` parts, dealt by a hash of the row,
+    so no task holds a whole hot group.
     """
     window = W.partitionBy(*group).orderBy(*order)
+    if k > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        part = F.pmod(F.xxhash64(*[F.col(c) for c, kind in df.dtypes if not kind.startswith("map")]), F.lit(PARTS))
+        within = W.partitionBy(*group, "_group_part").orderBy(*order)
+        df = (df.withColumn("_group_part", part).withColumn("_group_rank", F.row_number().over(within))
+              .filter(F.col("_group_rank") <= k).drop("_group_part", "_group_rank"))
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)

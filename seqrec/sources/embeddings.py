@@ -28,6 +28,8 @@ def read_embeddings(spark: SparkSession, sources: Sequence[str], *, dim: int | N
                     ordered: bool = False) -> DataFrame:
     """``item_id`` and ``embedding`` as array<float>; a vector of another length fails.
 
+    The length is ``dim`` or, without it, that of the longest vector.
+
     Files, directories and glob patterns (for a numbered family of files) may
     be mixed.
     """
@@ -35,10 +37,9 @@ def read_embeddings(spark: SparkSession, sources: Sequence[str], *, dim: int | N
     if ordered:
         raw = with_order(raw)
     vector = F.col("embedding").cast("array<float>")
-    if dim is not None:
-        fail = F.raise_error(F.concat(F.lit(f"expected {dim} entries, found "),
-                                      F.size(vector).cast("string")))
-        vector = F.when(F.size(vector) == dim, vector).otherwise(
-            F.array(fail.cast("float")))
+    length = F.lit(dim) if dim is not None else raw.agg(F.max(F.size("embedding"))).scalar()
+    fail = F.raise_error(F.concat(F.lit("expected "), length.cast("string"), F.lit(" entries, found "),
+                                  F.coalesce(F.size(vector).cast("string"), F.lit("null"))))
+    vector = F.when(F.size(vector) == length, vector).otherwise(F.array(fail.cast("float")))
     return raw.select(F.col("item_id").cast("string").alias("item_id"),
                       vector.alias("embedding"), *(["ord"] if ordered else []))

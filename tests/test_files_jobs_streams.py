@@ -93,6 +93,11 @@ def test_embedding_files(spark, tmp_path):
     assert embeddings.read_embeddings(spark, source, dim=2).count() == 25
     with pytest.raises(Exception, match="expected 3"):
         embeddings.read_embeddings(spark, [path], dim=3).collect()
+    assert embeddings.read_embeddings(spark, source).count() == 25
+    ragged = str(tmp_path / "ragged")
+    tables.write_embeddings(spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0])], table.schema), ragged)
+    with pytest.raises(Exception, match="expected 2 entries, found 1"):
+        embeddings.read_embeddings(spark, [ragged]).collect()
     for bad in ({}, {"path": "a", "paths": ["b"]}):
         with pytest.raises(ValueError):
             embeddings.resolve_sources(**bad)

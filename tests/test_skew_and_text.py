@@ -188,3 +188,18 @@ def test_size_settings(spark):
                        ("nonsense", 7)]:
         spark.conf.set("seqrec.test.size", text)
         assert conf_bytes(spark, "seqrec.test.size", 7) == want
+
+
+def test_top_per_group_beyond_the_window_group_limit(spark, facts):
+    """Above the threshold the group is limited in parts first, with the same result."""
+    order = [F.desc("ts"), F.desc("ord")]
+    plain = skew.top_per_group(facts, ["user"], order, 50)
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "20")
+    try:
+        parted = skew.top_per_group(facts, ["user"], order, 50)
+        assert parted.columns == plain.columns
+        assert sorted(map(tuple, parted.collect())) == sorted(map(tuple, plain.collect()))
+    finally:
+        spark.conf.set(key, old)
