@@ -7,10 +7,11 @@ after each edit, so their walks agree in most places: edit distance becomes
 Hamming distance. A repetition samples a few steps of the walk as the key of a
 hash table; equal keys are candidates, which an exact edit distance confirms.
 
-Windows have the size of the items: for each size on a geometric grid, windows
-start at every few words of a document, and an item is entered at every offset
-at which it fills a window, so one of its windows lines up with one of the
-document's. A walk is only followed while the steps sampled so far are a known
+Windows have the size of the items up to ``MAX_WINDOW`` words: for each size on
+a geometric grid, windows start at every few words of a document, and an item
+is entered at every offset at which it fills a window, so one of its windows
+lines up with one of the document's. A longer item has several such windows,
+some of which hold no more than their share of its edits. A walk is only followed while the steps sampled so far are a known
 beginning of a key, which changes nothing in the result and saves most of it.
 
 A match is an item whose words turn into a run of the document's words by at
@@ -34,6 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -47,16 +49,16 @@ MAX_EDITS = 0.2
 RECALL = 0.95
 MIN_WORDS = 8
 SAMPLED = 4
-MAX_REPETITIONS = 48
+MAX_WINDOW = 63
 ITEM_BYTES = 16 << 20
 SEED = 5
 _PAD = np.uint64(0)
 
 
 def window_sizes(longest: int) -> list[int]:
-    """Window sizes: 6 words, then each half as long again."""
+    """Window sizes: 6 words, then each half as long again, up to ``MAX_WINDOW``."""
     sizes = [6]
-    while sizes[-1] <= longest:
+    while sizes[-1] <= longest and sizes[-1] < MAX_WINDOW:
         sizes.append(sizes[-1] * 3 // 2)
     return sizes
 
@@ -70,6 +72,14 @@ def _size_of(n_words: int, sizes: list[int]) -> int:
     return max(s for s in sizes if s + stride(s) - 1 <= n_words)
 
 
+def _length_class(n_words: int) -> int:
+    """Items whose lengths differ by less than half share a class: longer ones have more windows, so they are told apart."""
+    edge = MIN_WORDS
+    while edge * 3 // 2 <= n_words:
+        edge = edge * 3 // 2
+    return edge
+
+
 class Walk:
     """One repetition for one window size: the random bits and the sampled steps."""
 
@@ -172,16 +182,17 @@ def _edited(item: np.ndarray, edits: int, draw: np.random.Generator) -> np.ndarr
     return np.array(out, np.uint64)
 
 
-def repetitions(items: list[np.ndarray], sizes: list[int], max_edits: float, recall: float) -> dict[int, int]:
-    """For each window size, how many repetitions reach the recall at the largest distance.
+def repetitions(items: list[np.ndarray], sizes: list[int], max_edits: float, recall: float) -> dict[tuple[int, int], int]:
+    """For each window size and class of lengths, how many repetitions reach the recall at the largest distance.
 
-    Measured on at most 64 items of the size, edited up to their limit: each
-    one's share of repetitions that find a window of the edited copy. Items
-    differ, so the recall is the mean over the items, not that of a mean item.
+    Measured on at most 64 items of the class, edited up to their limit: each
+    one's share of repetitions that find a window of the edited copy, rounded
+    down by two rounds more. Items differ, so the recall is the mean over the
+    items, not that of a mean item.
     """
-    out = {}
-    for size in sorted({_size_of(len(i), sizes) for i in items}):
-        chosen = [i for i in items if _size_of(len(i), sizes) == size][:64]
+    out, kinds = {}, [(_size_of(len(i), sizes), _length_class(len(i))) for i in items]
+    for size, length in sorted(set(kinds)):
+        chosen = [i for i, kind in zip(items, kinds) if kind == (size, length)][:64]
         draw, rounds, missing = np.random.default_rng([SEED, size]), 16, []
         for item in chosen:
             text = _edited(item, int(max_edits * len(item)), draw)
@@ -194,9 +205,9 @@ def repetitions(items: list[np.ndarray], sizes: list[int], max_edits: float, rec
                 mine = walk.keys(own, own_starts, own_ends)[-1][1]
                 theirs = walk.keys(copy, starts, np.full(len(starts), len(text)))[-1][1]
                 hits += bool(np.isin(theirs, mine).any())
-            missing.append(1 - (hits + 0.5) / (rounds + 1))
+            missing.append(1 - (hits + 0.5) / (rounds + 2))
         missed = np.array(missing)
-        out[size] = next((n for n in range(1, MAX_REPETITIONS) if (missed ** n).mean() <= 1 - recall), MAX_REPETITIONS)
+        out[size, length] = next(n for n in count(1) if (missed ** n).mean() <= 1 - recall)
     return out
 
 
@@ -210,11 +221,16 @@ def build_index(rows: list[tuple], max_edits: float = MAX_EDITS, recall: float =
             items.append(hashes)
     sizes = window_sizes(max((len(i) for i in items), default=0))
     tables = []
-    for size, times in (repetitions(items, sizes, max_edits, recall) if items else {}).items():
-        members = [m for m, i in enumerate(items) if _size_of(len(i), sizes) == size]
-        hashes, starts, ends, owner, offset = _entries(members, items, size)
-        bits = max(16, min(24, int(len(starts)).bit_length() + 4))
-        for repetition in range(times):
+    needed = repetitions(items, sizes, max_edits, recall) if items else {}
+    times = [needed[_size_of(len(i), sizes), _length_class(len(i))] for i in items]
+    for size in sorted({size for size, _ in needed}):
+        members: list[int] = []
+        for repetition in range(max(n for (of, _), n in needed.items() if of == size)):
+            left = [m for m, i in enumerate(items) if _size_of(len(i), sizes) == size and times[m] > repetition]
+            if left != members:
+                members = left
+                hashes, starts, ends, owner, offset = _entries(members, items, size)
+                bits = max(16, min(24, int(len(starts)).bit_length() + 4))
             walk = Walk(size, repetition)
             levels, known = walk.keys(hashes, starts, ends), []
             for _, keys in levels:

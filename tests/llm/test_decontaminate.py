@@ -85,6 +85,15 @@ def test_recall_and_precision_against_brute_force():
     assert found >= 0.95 * wanted
 
 
+@pytest.mark.parametrize("length", [90, 250, 500, 1000])
+def test_recall_of_long_items(length):
+    items = [prose(length) for _ in range(24)]
+    index = decontaminate.build_index([(i, " ".join(t)) for i, t in enumerate(items)])
+    texts = [" ".join([*prose(60), *edited(item, int(0.2 * length)), *prose(60)]) for item in items]
+    got = decontaminate.matches(index, pa.array(texts))
+    assert sum(any(m["item_id"] == i for m in found) for i, found in enumerate(got)) >= 0.9 * len(items)
+
+
 def test_clean_text_is_left_alone():
     index = decontaminate.build_index([(i, " ".join(prose(30))) for i in range(50)])
     assert not any(decontaminate.matches(index, pa.array([" ".join(prose(400)) for _ in range(200)])))
