@@ -61,6 +61,24 @@ def test_checksums():
     assert "iban" in found and sum(s.kind == "iban" for s in pii.scan("DE89370400440532013001")) == 0
 
 
+@pytest.mark.parametrize("account", ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947",
+                                     "DE89 3704 0044 0532 0130 00", "MT84MALT011000012345MTLCAST001S"])
+@pytest.mark.parametrize("after", ["", " Please pay", " BIC COBADEFF", " 50 EUR", " Thanks", ", B", "\nA1", " and", " DE12 3456"])
+def test_account_numbers_end_where_they_end(account, after):
+    text = f"IBAN {account}{after}"
+    found = [text[s.start:s.end] for s in pii.scan(text) if s.kind == "iban"]
+    assert found == [account]
+    assert not any(s.kind == "iban" for s in pii.scan(f"IBAN {account}X{after}"))
+    two = f"{account} {account}{after}"
+    assert sum(s.kind == "iban" for s in pii.scan(two)) == 2
+
+
+def test_account_numbers_of_other_countries():
+    digits = next(f"ZZ{n:02}12345678901234" for n in range(2, 99) if pii.mod97(f"ZZ{n:02}12345678901234"))
+    assert [(s.start, s.end) for s in pii.scan(f"{digits} Please") if s.kind == "iban"] == [(0, len(digits))]
+    assert len(pii.scan("AB12 " * 200_000)) < 10**6
+
+
 def test_context_words_move_the_score():
     def scores(text):
         return [(s.kind, s.score) for s in pii.scan(text)]
