@@ -1,8 +1,11 @@
 """Licence scan: a trained paragraph classifier whose predictions templates confirm.
 
-A paragraph is a line. Its features are hashed words and pairs of words; lines
-of more than two pieces of ``PIECE`` words are scored by every two pieces in a
-row, and the best pair speaks for the line. The model is a multinomial
+A paragraph is a line, or a notice wrapped over consecutive lines, which is
+reported at the line where it begins. Features are hashed words and pairs of
+words; lines, and runs of lines without a blank one, of more than two pieces of
+``PIECE`` words are scored by every two pieces in a row. Each separate stretch
+of such windows that states a family is reported once, by its best window; a
+window that states several families reports each. The model is a multinomial
 logistic regression over the licence families and the class ``unknown``,
 trained on disturbed copies of the templates (words lost, prose around them)
 against lines of a bounded sample of the documents (``SAMPLE_DOCS`` in hash
@@ -16,7 +19,7 @@ prediction stands only if enough of the word pairs of one template of its
 family are in the same window; otherwise the line stays unknown.
 
 Defined cases: null and empty texts have no licence; every licensed line of a
-text is reported; repeated rows are answered row by row; without documents to
+text is reported, with one entry for each family and stretch; repeated rows are answered row by row; without documents to
 learn from, the fixed lines alone stand for the unknown class.
 """
 
@@ -212,6 +215,96 @@ class Scanner:
                 sums[use] + np.where(both[:, None], sums[second][use], 0),
                 n_grams[use] + np.where(both, n_grams[second][use], 0))
 
+    def _cover(self, pairs: list[int], template: set[int]) -> tuple[int, int]:
+        """First and last place of the shortest run of pairs that holds all the template's pairs there are."""
+        wanted, last, best = len(template.intersection(pairs)), {}, (0, len(pairs))
+        for at, pair in enumerate(pairs):
+            if pair in template:
+                last.pop(pair, None)
+                last[pair] = at
+                first = next(iter(last.values()))
+                if len(last) == wanted and at - first < best[1] - best[0]:
+                    best = first, at
+        return best
+
+    def _stated(self, hashes: np.ndarray, name: str, sure: float) -> list[tuple[str, float, float, int, int]]:
+        """Families a window states: name, probability, contained, first and last word of the statement.
+
+        The classifier names one. Another is stated where a template of its
+        own is contained, the classifier names it for that statement's words
+        alone, and the statement holds no pair that only the families before
+        it have (a statement of one family resembles those of its relatives).
+        """
+        pairs = words.mixed(hashes[:-1] * np.uint64(3) + hashes[1:]).tolist()
+        own, out, foreign = set(pairs), [], set()
+        for other in [name, *(f for f in self.model.families if f != name)]:
+            contained, template = max(((len(own & t) / len(t), t) for t in self.templates[other]), key=lambda c: c[0])
+            if contained < CONFIRM:
+                if other == name:
+                    return []
+                continue
+            first, last = self._cover(pairs, template)
+            chance = sure
+            if other != name:
+                # pairs of the families before that this one does not have
+                strange = foreign.difference(*self.templates[other])
+                used = [first + i for i, p in enumerate(pairs[first:last + 1]) if p not in strange]
+                if len(used) <= last - first:
+                    inside = {pairs[i] for i in used if pairs[i] not in foreign}
+                    if len(inside & template) < CONFIRM * len(template):
+                        continue
+                keep = np.unique([place for i in used if pairs[i] in template for place in (i, i + 1)])
+                single, pair = grams(hashes[keep], np.cumsum(np.append(0, np.diff(keep) > 1)))
+                sums = (self.model.weights[single] + self.model.weights[pair]).sum(axis=0)[None, :]
+                scores = self.model.probabilities(sums, np.array([len(single) + np.count_nonzero(pair >= 0)]))[0]
+                if self.model.families[int(scores[:-1].argmax())] != other or scores[:-1].max() < self.model.threshold:
+                    continue
+                chance = float(scores[:-1].max())
+            out.append((other, chance, contained, first, last + 2))
+            foreign |= own & set().union(*self.templates[other])
+        return out
+
+    def _notices(self, found: words.Words, n_parts: int, *, whole: bool = False) -> list[tuple[int, str, float, float, int, int]]:
+        """Statements in each part: its number, family, probability, contained, first and last word. One per stretch."""
+        if not len(found.hashes):
+            return []
+        part, begin, end, sums, n_grams = self._windows(found, n_parts)
+        chance = self.model.probabilities(sums, n_grams)
+        family = chance[:, :-1].argmax(axis=1)
+        sure = chance[np.arange(len(chance)), family]
+        best: dict[tuple[int, str, int], tuple] = {}
+        latest: dict[tuple[int, str], tuple[int, int]] = {}
+        for w in np.flatnonzero(sure >= self.model.threshold).tolist():
+            for name, probability, contained, first, last in self._stated(
+                    found.hashes[begin[w]:end[w]], self.model.families[family[w]], float(sure[w])):
+                key = int(part[w]), name
+                before, stretch = latest.get(key, (-2, w))
+                stretch = stretch if before == w - 1 else w
+                latest[key] = w, stretch
+                place = (probability, contained, int(begin[w]) + first, int(begin[w]) + last)
+                # a wrapped notice is placed by the window that holds most of it
+                rank = (contained, probability) if whole else (probability,)
+                best[*key, stretch] = max(best.get((*key, stretch), ((0.0,),)), (rank, *place))
+        return [(number, name, *place) for (number, name, _), (_, *place) in best.items()]
+
+    def _without_relatives(self, notices: list[tuple], hashes: np.ndarray) -> list[tuple]:
+        """Of overlapping statements of which one is made of the other's pairs, the one that holds more of its template."""
+        notices, lost = sorted(notices, key=lambda n: (n[4], n[5], n[1])), set()
+        for i, a in enumerate(notices):
+            for j in range(i + 1, len(notices)):
+                b = notices[j]
+                if b[4] >= a[5]:
+                    break
+                if a[1] == b[1]:
+                    continue
+                low, high, loser = (a, b, i) if (a[3], a[2]) < (b[3], b[2]) else (b, a, j)
+                part = hashes[low[4]:low[5]]
+                pairs = set(words.mixed(part[:-1] * np.uint64(3) + part[1:]).tolist())
+                pairs &= set().union(*self.templates[low[1]])
+                if 2 * len(pairs & set().union(*self.templates[high[1]])) >= len(pairs):
+                    lost.add(loser)
+        return [n for i, n in enumerate(notices) if i not in lost]
+
     def scan(self, texts: pa.Array) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in range(len(texts))]
         for at, data, offsets in words.slices(texts):
@@ -220,19 +313,23 @@ class Scanner:
             found = words.hashed(data, edges)
             if not len(found.hashes):
                 continue
-            line, begin, end, sums, n_grams = self._windows(found, len(edges) - 1)
-            chance = self.model.probabilities(sums, n_grams)
-            family = chance[:, :-1].argmax(axis=1)
-            sure = chance[np.arange(len(chance)), family]
-            best: dict[int, tuple[float, float, str]] = {}
-            for w in np.flatnonzero(sure >= self.model.threshold).tolist():
-                hashes = found.hashes[begin[w]:end[w]]
-                own = set(words.mixed(hashes[:-1] * np.uint64(3) + hashes[1:]).tolist())
-                name = self.model.families[family[w]]
-                contained = max(len(own & t) / len(t) for t in self.templates[name])
-                if contained >= CONFIRM:
-                    best[line[w]] = max(best.get(line[w], (0.0, 0.0, "")), (float(sure[w]), contained, name))
-            for number, (probability, contained, name) in sorted(best.items()):
+            n_lines = len(edges) - 1
+            lines = self._notices(found, n_lines)
+            stated = {(number, name) for number, name, *_ in lines}
+            # runs of lines: a run begins with a text, and where only white space lies since the line before
+            blank = np.diff(found.first) == 0
+            begins = np.isin(edges[:-1], offsets)
+            empty = blank & np.array([not data[edges[i]:edges[i + 1]].tobytes().strip() if blank[i] else False
+                                      for i in range(n_lines)], bool)
+            begins[1:] |= empty[:-1]
+            runs = np.append(np.flatnonzero(begins), n_lines)
+            wrapped = words.Words(found.hashes, found.first[runs], found.starts)
+            for _, name, probability, contained, first, last in self._notices(wrapped, len(runs) - 1, whole=True):
+                top, bottom = (int(np.searchsorted(found.first, w, side="right")) - 1 for w in (first, last))
+                if top < bottom and not any((n, name) in stated for n in range(top, bottom + 1)):
+                    lines.append((top, name, probability, contained, first, last))
+            lines = self._without_relatives(lines, found.hashes)
+            for number, name, probability, contained, *_ in lines:
                 start = edges[number]
                 text = int(np.searchsorted(offsets, start, side="right")) - 1
                 out[at + text].append({

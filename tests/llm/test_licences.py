@@ -56,6 +56,41 @@ def test_line_numbers_and_long_lines(scanner):
     assert both[1] == both[3] == found and not both[0] and not both[2]
 
 
+WRAPPED = {
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General "
+           "Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n"
+           "(at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser "
+            "General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or "
+            "(at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided "
+           "that the following conditions are met:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is "
+           "hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+}
+
+
+@pytest.mark.parametrize("family", WRAPPED)
+@pytest.mark.parametrize("mark", ["", " * ", "# "])
+def test_wrapped_notices(scanner, family, mark):
+    notice = "\n".join(mark + line for line in WRAPPED[family].split("\n"))
+    text = f"Some program\n\n{notice}\n\nThe quiet garden lay beyond the river."
+    (found,) = scanner.scan(pa.array([text]))
+    assert [x["family"] for x in found] == [family] and 2 <= found[0]["paragraph"] <= 3
+
+
+def test_several_licences_in_a_line(scanner):
+    prose = "the quiet garden lay beyond the river and nobody came " * 40
+    (far,) = scanner.scan(pa.array([f"{prose} Released under the MIT License. {prose} Licensed under CC BY-NC 4.0. {prose} "
+                                    f"Released under the MIT License. {prose}"]))
+    assert [(x["paragraph"], x["family"]) for x in far] == [(0, "mit"), (0, "cc-by-nc"), (0, "mit")]
+    for text, families in [("Released under the MIT License. Licensed under the Apache License, Version 2.0.", {"mit", "apache"}),
+                           ("Licensed under the Apache License, Version 2.0. Released under the MIT License.", {"mit", "apache"}),
+                           ("Released under the ISC License. Released under the BSD 3-Clause License.", {"isc", "bsd"})]:
+        (near,) = scanner.scan(pa.array([text]))
+        assert {x["family"] for x in near} == families and len(near) == len(families)
+
+
 def test_odd_rows(odd_docs, no_docs):
     model = licences.fit(odd_docs)
     found = licences.scan(odd_docs, model)
