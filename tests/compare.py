@@ -58,22 +58,20 @@ def differences(df, connection, sql) -> list[str]:
 def main() -> int:
     from pyspark.sql import SparkSession
 
-    from seqrec.checks import REGISTRY
-    from seqrec.session import ship_package
+    import __spark_entry__
 
+    runs, sqls = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
-    names = sys.argv[2:] or list(REGISTRY)
+    names = sys.argv[2:] or list(runs)
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    ship_package(spark)
     connection, bad = duck(sf_dir), 0
     for name in names:
         started = time.time()
         try:
-            df = REGISTRY[name].run(spark, sf_dir)
-            sql = REGISTRY[name].sql
+            df, sql = runs[name](spark, sf_dir), sqls.get(name)
             problems = differences(df, connection, sql) if sql else ([] if df.count() else ["no rows"])
         except Exception as error:  # noqa: BLE001
             problems = [f"{type(error).__name__}: {str(error)[:1500]}"]
