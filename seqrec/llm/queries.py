@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqrec.llm import decontaminate, langid, licences, lines, mixing, pii, shards, simhash, topk, warc
+from seqrec.llm import decontaminate, infill, langid, licences, lines, mixing, pii, shards, simhash, topk, warc
 from seqrec.llm.common import table
 from seqrec.session import ensure_checkpoint_dir
 
@@ -240,3 +240,28 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = licences.scan(docs, licences.fit(docs))
     return found.select("doc_id", F.explode("licences").alias("l")).select("doc_id", "l.*")
+
+
+_SPACES = r"\x20\x09-\x0D"
+_HAS_MARK = " OR ".join(f"contains(t, '<{m}>')" for m in "PSM")
+
+
+@query(f"""WITH u AS (SELECT doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+') AS l,
+    sha256('{infill.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+h AS (SELECT *, CAST(len(l) AS BIGINT) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(d, CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT)) AS h FROM u),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR {_HAS_MARK} OR h[3] % 100 >= {infill.RATE} THEN 'plain'
+         WHEN h[4] % 100 < {infill.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(l[1:a], '') AS prefix, array_to_string(l[a + 1:b], '') AS middle,
+    array_to_string(l[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+    ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""")
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for filling in the middle, and restored again."""
+    made = infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = infill.restored(F.col("infill.output"), F.col("infill.form"))
+    return made.select("doc_id", "infill.n", "infill.form", "infill.prefix_chars", "infill.middle_chars",
+                       F.sha2("infill.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
