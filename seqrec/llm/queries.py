@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqrec.llm import decontaminate, infill, langid, licences, lines, mixing, pii, shards, simhash, topk, warc
+from seqrec.llm import decontaminate, infill, langid, licences, lines, mixing, pii, shards, simhash, spelling, topk, warc
 from seqrec.llm.common import table
 from seqrec.session import ensure_checkpoint_dir
 
@@ -265,3 +265,37 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = infill.restored(F.col("infill.output"), F.col("infill.form"))
     return made.select("doc_id", "infill.n", "infill.form", "infill.prefix_chars", "infill.middle_chars",
                        F.sha2("infill.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+_FACTOR, _EVERY = spelling.FACTOR, spelling.SLIP_EVERY
+
+
+@query(f"""WITH RECURSIVE crc_table AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), '{_UPPER}', '{_UPPER.lower()}') AS run
+  FROM documents),
+counted AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS body, run, count(*) AS c FROM runs
+  WHERE length(run) >= {spelling.MIN_CHARS} GROUP BY ALL),
+hashed AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(body)), '..'),
+        lambda h: CAST('0x' || h AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM counted, crc_table),
+formed AS (SELECT CASE WHEN h % {_EVERY} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c
+  FROM hashed),
+v AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM formed WHERE length(word) >= {spelling.MIN_CHARS}
+  GROUP BY word HAVING sum(c) >= {spelling.MIN_COUNT}),
+cut AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+near AS (SELECT x.word, y.word AS other FROM cut x JOIN cut y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT x.word, x.rest FROM cut x JOIN v ON v.word = x.rest
+  UNION SELECT x.rest, x.word FROM cut x JOIN v ON v.word = x.rest),
+ranked AS (SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+    row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS r FROM near JOIN v o ON o.word = other),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {_FACTOR} * v.n THEN other END AS form,
+    CASE WHEN other_n >= {_FACTOR} * v.n THEN other_n END AS form_n FROM v LEFT JOIN ranked ON ranked.word = v.word AND r = 1),
+chain AS (SELECT word, word AS at FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, chain.at AS root, f.n, f.n_near, f.form_n FROM f JOIN chain ON chain.word = f.word
+JOIN f AS last ON last.word = chain.at AND last.form IS NULL""")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every longer word of the corpus with its near words, its form and its root."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = spelling.variants(spelling.word_counts(docs, slip_every=spelling.SLIP_EVERY))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")

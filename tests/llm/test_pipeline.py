@@ -68,5 +68,5 @@ def test_odd_rows(spark, sf_dir, odd_docs, no_docs):
 
 def test_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13]
     assert "pipeline" in __spark_entry__.queries() and mixing.SEED != shards.SEED
