@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqrec.llm import decontaminate, infill, langid, licences, lines, mixing, pii, shards, simhash, spelling, topk, warc
+from seqrec.llm import decontaminate, infill, langid, licences, lines, minhash, mixing, pii, shards, simhash, spelling, topk, warc
 from seqrec.llm.common import table
 from seqrec.session import ensure_checkpoint_dir
 
@@ -299,3 +299,11 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = spelling.variants(spelling.word_counts(docs, slip_every=spelling.SLIP_EVERY))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query()
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and its component of near copies."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
