@@ -1,165 +1,93 @@
-"""Near copies by the Jaccard similarity of word shingles: several fingerprints propose, exact sets confirm.
-
-Every distinct text has ``FINGERPRINTS`` fingerprints, each the hash of
-``DRAWS`` min-hashes of its shingles. Two texts of similarity s share a given
-fingerprint with chance s ** DRAWS, so at the least similarity of 0.8 at least
-one is shared with chance 0.994 (more above it). Single fingerprints within a
-ball, as operator 4 has them, do not reach that far: at 0.8 about a seventh of
-their bits differ.
-
-Each text is compared with the smallest one of every fingerprint it has, by
-the exact similarity of the shingle sets. What is then in one component needs
-no more comparisons; wherever texts of several components still share a
-fingerprint, all their pairs across components are compared. The result is
-that of comparing all pairs that share a fingerprint, without the pairs inside
-a large group of near copies.
-
-Defined cases: words, lower case and texts with fewer words than a shingle are
-those of ``simhash``; null, empty and blank texts are one text; texts of equal
-words are one text, told by 64 bits; rows with a null id stay and name no
-component; rows that repeat the id that stays all stay.
+"""Near copies by SimHash ball hashing for a stated similarity of word shingles.
+
+One long fingerprint and a small ball, as operator 4 has them, do not reach a
+Jaccard similarity of 0.8: a seventh of the bits differ there. So every
+distinct shingle set has ``PRINTS`` short fingerprints. Each belongs to one
+min-hash of the set and holds one bit of each of ``BITS`` more. Two sets of
+similarity s agree in the min-hash with chance s and differ in each bit with
+chance (1 - s) / 2. Every distinct fingerprint emits all variants within half
+the radius; a variant meets at most ``BITS + 1`` fingerprints, by geometry, so
+what meets there is kept as one bit for each. At s = 0.8 two fingerprints meet
+with chance 0.54, one of eight pairs with chance 0.998, more above it.
+
+What meets is compared and verified by exact Jaccard similarity (``linking``),
+and components join the verified links.
+
+Defined cases: null, empty and blank texts are one text; texts with fewer words
+than a shingle have all their words as one; texts with equal sets are one, told
+by 128 bits; rows with a null id stay and name no component; rows that repeat
+the id that stays all stay.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqrec.llm import components, words
+from seqrec.llm import linking
 from seqrec.llm.common import column, fresh
-from seqrec.llm.simhash import SEED, _word_blocks
-from seqrec.operators.skew import HOT_ROWS, spread_join
+from seqrec.llm.shingles import Sketch, matrix
+from seqrec.operators.skew import HOT_ROWS
 from seqrec.session import cut_lineage
 
 SHINGLE_WORDS = 5
 SIMILARITY = (4, 5)
-FINGERPRINTS, DRAWS = 28, 8
-CHUNK = 512
-
-
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(SEED)
-    size = FINGERPRINTS * DRAWS
-    odd = draw.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return draw.integers(0, 1 << 63, size, dtype=np.uint64), odd
-
-
-_FLIP, _ODD = _permutations()
-
-
-def shingles(text: str | None, n_words: int = SHINGLE_WORDS) -> tuple[int, np.ndarray]:
-    """A hash of all words of a text, and the sorted hashes of its distinct shingles."""
-    whole, hashes, carried = xxhash.xxh64(seed=SEED), [], []
-    for block in _word_blocks((text or "").encode("utf-8", "replace").lower()):
-        if block:
-            whole.update(b" ".join(block) + b" ")
-        block = carried + block
-        hashes += [xxhash.xxh64_intdigest(b" ".join(block[i:i + n_words]), SEED) for i in range(len(block) - n_words + 1)]
-        carried = block[len(block) - n_words + 1:] if len(block) >= n_words else block
-    if not hashes and carried:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(carried), SEED)]
-    return whole.intdigest(), np.unique(np.array(hashes, np.uint64))
-
-
-def prints(hashes: np.ndarray) -> np.ndarray:
-    """The fingerprints of a shingle set; none of the empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.uint64)
-    least = np.full(len(_ODD), np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), CHUNK):
-        part = (hashes[at:at + CHUNK, None] ^ _FLIP) * _ODD
-        least = np.minimum(least, part.min(axis=0))
-    drawn, out = least.reshape(FINGERPRINTS, DRAWS), np.arange(1, FINGERPRINTS + 1, dtype=np.uint64)
-    for draw in range(DRAWS):
-        out = words.mixed((out ^ drawn[:, draw]) * np.uint64(0x9E3779B97F4A7C15))
-    return out
-
-
-def _sketch(text: Column) -> Column:
-    @F.arrow_udf("struct<key:long,prints:array<long>>")
-    def sketch(texts: pa.Array) -> pa.Array:
-        found = [shingles(t.as_py()) for t in texts]
-        return pa.StructArray.from_arrays(
-            [pa.array(np.array([k for k, _ in found], np.uint64).view(np.int64)),
-             pa.array([prints(s).view(np.int64) for _, s in found], pa.list_(pa.int64()))], ["key", "prints"])
-
-    return sketch.asNondeterministic()(text)
-
-
-def _set(text: Column) -> Column:
-    @F.arrow_udf("struct<key:long,shingles:array<long>>")
-    def listed(texts: pa.Array) -> pa.Array:
-        found = [shingles(t.as_py()) for t in texts]
-        return pa.StructArray.from_arrays(
-            [pa.array(np.array([k for k, _ in found], np.uint64).view(np.int64)),
-             pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], ["key", "shingles"])
-
-    return listed.asNondeterministic()(text)
-
-
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Shingle sets of the texts with the keys ``wanted`` (key, least_id); only documents with such an id are read."""
-    ids = wanted.filter(F.col("least_id").isNotNull()).select("least_id").distinct()
-    rows = docs.join(ids, F.col("doc_id") == F.col("least_id"), "left_semi").unionByName(
-        docs.filter(F.col("doc_id").isNull()))
-    sets = rows.select(_set(F.col("text")).alias("s")).select("s.key", "s.shingles")
-    sets = sets.join(wanted.select("key"), "key", "left_semi")
-    return cut_lineage(sets.groupBy("key").agg(F.first("shingles").alias("shingles")))
-
-
-def _near(pairs: DataFrame, sets: DataFrame, hot_rows: int) -> DataFrame:
-    """The pairs (a, b) whose sets have the least similarity."""
-    for side in ("a", "b"):
-        pairs = spread_join(pairs, sets.select(F.col("key").alias(side), F.col("shingles").alias(f"of_{side}")), [side],
-                            hot_rows=hot_rows)
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    up, down = SIMILARITY
-    return pairs.filter(both * (up + down) >= (F.size("of_a") + F.size("of_b")) * up).select("a", "b")
-
-
-def links(docs: DataFrame, texts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Verified links (a, b) between keys of distinct texts: every pair that shares a fingerprint is connected."""
-    shared = texts.select("key", F.explode("prints").alias("print"))
-    crowds = shared.groupBy("print").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n_rows"))
-    crowds = cut_lineage(crowds.filter(F.col("n_rows") > 1))
-    members = cut_lineage(spread_join(shared, crowds.select("print", "a"), ["print"],
-                                      counts=crowds.select("print", "n_rows"), hot_rows=hot_rows))
-    wanted = texts.select("key", "least_id").join(members.select("key").distinct(), "key", "left_semi")
-    sets = _sets(docs, cut_lineage(wanted))
-    stars = cut_lineage(members.filter(F.col("key") != F.col("a")).select("a", F.col("key").alias("b")).distinct())
-    found = cut_lineage(_near(stars, sets, hot_rows))
-    roots = components.components(found, "a", "b", hot_rows=hot_rows).withColumnRenamed("u", "key")
-    placed = cut_lineage(members.join(roots, "key", "left").select("print", "key", F.coalesce("root", "key").alias("root")))
-    mixed = placed.groupBy("print").agg(F.min("root").alias("low"), F.max("root").alias("high"),
-                                        F.count(F.lit(1)).alias("n_rows")).filter(F.col("low") != F.col("high"))
-    mixed = cut_lineage(mixed)
-    open_ = cut_lineage(spread_join(placed, mixed.select("print"), ["print"],
-                                    counts=mixed.select("print", "n_rows"), hot_rows=hot_rows))
-    left = open_.select("print", F.col("key").alias("a"), F.col("root").alias("root_a"))
-    right = open_.select("print", F.col("key").alias("b"), F.col("root").alias("root_b"))
-    across = left.join(right, "print").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")))
-    across = cut_lineage(across.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    return found.unionByName(_near(across, sets, hot_rows))
-
-
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per document: id and ``component_id``, the smallest id reachable over near copies."""
+PRINTS, BITS = 8, 20
+RADIUS = 2
+
+
+def fingerprints(signatures: np.ndarray) -> np.ndarray:
+    """The fingerprints of each signature as numbers: which one, the min-hash, the bits."""
+    drawn = signatures.reshape(len(signatures), PRINTS, BITS + 1).astype(np.int64)
+    bits = ((drawn[:, :, 1:] & 1) << np.arange(BITS)).sum(axis=2)
+    return (np.arange(PRINTS) << (16 + BITS)) | (drawn[:, :, 0] << BITS) | bits
+
+
+def _prints(sig: Column) -> Column:
+    @F.arrow_udf("array<long>")
+    def made(signatures: pa.Array) -> pa.Array:
+        found = fingerprints(matrix(signatures)) if len(signatures) else np.zeros((0, PRINTS), np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * PRINTS), pa.array(found.ravel()))
+
+    return made(sig)
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which fingerprints of each pair of signatures meet."""
+    one, two = (x.reshape(len(x), PRINTS, BITS + 1) for x in (a, b))
+    apart = ((one[:, :, 1:] ^ two[:, :, 1:]) & 1).sum(axis=2)
+    return (one[:, :, 0] == two[:, :, 0]) & (apart <= RADIUS)
+
+
+def _buckets(texts: DataFrame) -> DataFrame:
+    """``bucket, part, tid``: the members of every variant that several fingerprints or texts have."""
+    held = cut_lineage(texts.select("tid", F.explode(_prints(F.col("sig"))).alias("fp")))
+    flips = [0, *(1 << b for b in range(BITS))]
+    distinct = cut_lineage(held.groupBy("fp").agg((F.count(F.lit(1)) > 1).alias("several")))
+    variants = distinct.select(F.explode(F.array(*[
+        F.struct(F.col("fp").bitwiseXOR(F.lit(flip)).alias("variant"), F.lit(1 << i).alias("who"))
+        for i, flip in enumerate(flips)])).alias("v")).select("v.*")
+    met = variants.groupBy("variant").agg(F.bit_or("who").alias("who")).filter(F.bit_count("who") > 1)
+    of_ball = met.select(F.col("variant").alias("bucket"), F.explode(F.filter(F.array(*[
+        F.when(F.col("who").bitwiseAND(F.lit(1 << i)) != 0, F.col("variant").bitwiseXOR(F.lit(flip)))
+        for i, flip in enumerate(flips)]), lambda x: x.isNotNull())).alias("fp"))
+    of_copies = distinct.filter("several").select(F.col("fp").alias("bucket"), "fp")
+    buckets = cut_lineage(of_ball.unionByName(of_copies).distinct())
+    part = F.shiftright("bucket", 16 + BITS).cast("int")
+    return cut_lineage(held.join(buckets, "fp").select("bucket", part.alias("part"), "tid"))
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, hot_rows: int = HOT_ROWS,
+                crowd: int = linking.CROWD) -> DataFrame:
+    """One row per document: ``doc_id`` and ``component_id``, the smallest id reachable over near copies."""
+    rule = linking.Rule(Sketch(SHINGLE_WORDS, PRINTS * (BITS + 1)), *SIMILARITY)
     plain = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
-    sketched = cut_lineage(plain.select("doc_id", _sketch(F.col("text")).alias("s")).select("doc_id", "s.key", "s.prints"))
-    texts = cut_lineage(sketched.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("prints").alias("prints"),
-                                                    F.count(F.lit(1)).alias("n_rows")))
-    found = components.components(links(plain, texts, hot_rows), "a", "b", hot_rows=hot_rows)
-    placed = cut_lineage(texts.join(found.withColumnRenamed("u", "key"), "key", "left").select(
-        "key", "least_id", F.coalesce("root", "key").alias("root")))
-    named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n_rows"))
-    named = cut_lineage(named)
-    by_root = spread_join(placed, named.select("root", "component_id"), ["root"],
-                          counts=named.select("root", "n_rows"), hot_rows=hot_rows)
-    return spread_join(sketched.select("doc_id", "key"), by_root.select("key", "component_id"), ["key"],
-                       counts=texts.select("key", "n_rows"), hot_rows=hot_rows).select("doc_id", "component_id")
+    rows = linking.sketched(plain, rule.sketch, "doc_id", "text")
+    corpus = linking.Corpus(plain, rows, rule)
+    found = linking.links(corpus, _buckets(corpus.texts), _shared, hot_rows=hot_rows, crowd=crowd)
+    return corpus.component_ids(rows.select("doc_id", "k1", "k2"), found, hot_rows=hot_rows).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, hot_rows: int = HOT_ROWS) -> DataFrame:

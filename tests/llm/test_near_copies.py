@@ -1,71 +1,36 @@
-"""Near copies: components against brute-force Jaccard over five-word shingles, large groups, odd rows."""
+"""Near copies by ball hashing: components against brute-force Jaccard over five-word shingles, large groups, odd rows."""
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from seqrec.llm import near_copies
+from seqrec.llm import linking, near_copies
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-
-
-def plain_set(text):
-    words = (text or "").lower().split()
-    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
-
-
-def plain_pairs(rows):
-    sets = [(i, plain_set(t)) for i, t in rows]
-    return [(i, j) for n, (i, a) in enumerate(sets) for j, b in sets[n + 1:]
-            if len(a & b) * 5 >= 4 * len(a | b) and (a or not b)]
-
-
-def roots(rows, pairs):
-    root = {i: i for i, _ in rows}
+from .test_minhash import families, plain_rows, plain_set, with_passage
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        x, y = sorted((find(a), find(b)))
-        root[y] = x
-    return {i: find(i) for i in root}
-
-
-def families(rng, n, size):
-    """Families of texts: each member changes some words of its first one, so similarities lie on both sides of 0.8."""
-    rows = []
-    for _ in range(n):
-        first = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(60, 240))]
-        for member in range(size):
-            words = list(first)
-            for _ in range(rng.randrange(5) if member else 0):
-                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
-            rows.append(" ".join(words))
-    rng.shuffle(rows)
-    return list(enumerate(rows))
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-@pytest.mark.parametrize("hot_rows", [5, 10**6])
-def test_stage_reaches_similarity_of_four_fifths(spark, hot_rows):
-    rows = families(random.Random(3), 60, 5) + [(1000, None), (1001, " "), (1002, "a b"), (1003, "A  b"), (1004, "a c")]
-    pairs = plain_pairs(rows)
-    want = roots(rows, pairs)
+@pytest.mark.parametrize("hot_rows, crowd", [(5, 8), (10**6, 2048)])
+def test_stage_reaches_similarity_of_four_fifths(spark, hot_rows, crowd):
+    rows = families(random.Random(3), 60, 5, 60, 240, 5) + [(1000, None), (1001, " "), (1002, "a b"), (1003, "A  b"), (1004, "a c")]
+    plain, pairs = plain_rows(rows, n=5, empty_alike=True)
+    want = {i: c for i, _, c in plain}
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
-    found = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(df, hot_rows=hot_rows).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(df, hot_rows=hot_rows, crowd=crowd).collect()}
     assert len(pairs) > 150 and len(found) == len(rows)
     # nothing is joined that is not near; nearly all pairs are joined
     assert all(want[i] == want[c] for i, c in found.items())
-    assert sum(found[a] == found[b] for a, b in pairs) >= 0.98 * len(pairs)
-    if hot_rows > 5:
-        kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
-        assert kept == set(found.values())
+    by_set = {plain_set(t, 5): i for i, t in rows}
+    assert sum(found[by_set[a]] == found[by_set[b]] for a, b in pairs) >= 0.98 * len(pairs)
+    kept = {r["doc_id"] for r in near_copies.keep_one(df, hot_rows=hot_rows).collect()}
+    assert kept == set(found.values())
+    assert kept == {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
 
 
-def test_one_large_group(spark):
+def test_one_chain(spark):
     """Every text is near its neighbours in the chain only; all are one component."""
     rng = random.Random(4)
     base, rows = [f"w{i}" for i in range(200)], []
@@ -76,6 +41,42 @@ def test_one_large_group(spark):
     assert {r["component_id"] for r in found} == {0}
 
 
+def test_large_group_around_the_limit(spark):
+    rows = families(random.Random(12), 1, 400, 200, 201, 9)
+    plain, pairs = plain_rows(rows, n=5)
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, c) for i, _, c in plain)
+    assert 0.02 < len(pairs) / (400 * 399 / 2) < 0.95
+
+
+@pytest.mark.parametrize("crowd", [16, 2048])
+def test_pairs_of_a_common_passage_grow_with_the_texts(spark, monkeypatch, crowd):
+    """400 texts with a passage at similarity 0.6: a fingerprint alone would propose most of their 79,800 pairs."""
+    counted = []
+    for n in (200, 400):
+        tried, real = [], linking.Corpus.confirmed
+        monkeypatch.setattr(linking.Corpus, "confirmed", lambda self, pairs: (tried.append(pairs.count()), real(self, pairs))[1])
+        rows = list(enumerate(with_passage(random.Random(n), n, 75, 25)))
+        got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()
+        monkeypatch.undo()
+        assert all(r["component_id"] == r["doc_id"] for r in got)
+        counted.append(sum(tried))
+    assert counted[0] <= 200 and counted[1] <= 400
+
+
+def test_chance_to_meet():
+    """Fingerprints of signatures that agree with chance 0.8 meet as often as the docstring says."""
+    rng = np.random.default_rng(1)
+    one = rng.integers(0, 1 << 16, (20000, near_copies.PRINTS * (near_copies.BITS + 1))).astype(np.uint16)
+    two = np.where(rng.random(one.shape) < 0.8, one, rng.integers(0, 1 << 16, one.shape)).astype(np.uint16)
+    met = near_copies._shared(one, two)
+    assert 0.53 < met.mean() < 0.56 and met.any(axis=1).mean() > 0.997
+    a, b = near_copies.fingerprints(one), near_copies.fingerprints(two)
+    bits = np.array([[int(x ^ y).bit_count() for x, y in zip(r, s)] for r, s in zip(a[:500], b[:500])])
+    same = (a[:500] >> near_copies.BITS) == (b[:500] >> near_copies.BITS)
+    assert np.array_equal(same & (bits <= near_copies.RADIUS), met[:500])
+
+
 def test_odd_rows(odd_docs, no_docs):
     kept = near_copies.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
