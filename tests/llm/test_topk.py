@@ -43,23 +43,49 @@ def test_equals_all_pairs(spark, blocks):
     assert got(spark.createDataFrame(some, SCHEMA), 9, 7, **blocks) == plain(some, 9, 7)
 
 
-def test_step_by_step_search_is_exact(spark, monkeypatch):
-    """Blocks far larger than a step, so most of a block is settled by its bounds."""
-    monkeypatch.setattr(topk, "STEP", 8)
-    some = rows(2000, 4)
-    cell = [topk._cell(*(tables(some, 5)), 5)]
-    found = sorted(zip(*cell[0]))
-    assert found == sorted((q, i, s) for q, _, i, s in plain(some, 5, 5))
-
-
 def tables(some, every):
     import pyarrow as pa
 
     ids = np.array([i for i, _ in some])
     vectors = np.floor(64 * np.array([v for _, v in some], np.float32).astype(float))
-    pivots = vectors[:7]
-    table = pa.table({"id": ids, "v": list(vectors), "d": list(topk._to_pivots(vectors, pivots))})
-    return table.filter(pa.array(ids % every == 0)), table
+    pivots = vectors[:40]
+    near = topk._to_pivots(vectors, pivots).argmin(axis=1)
+    table = pa.table({"id": ids, "v": list(vectors), "near": near, "least": np.full(len(ids), -np.inf)})
+    return table.filter(pa.array(ids % every == 0)), table, pivots
+
+
+def test_a_cell_is_searched_in_groups(monkeypatch):
+    some = rows(2000, 4)
+    queries, candidates, pivots = tables(some, 5)
+    products, real = [], np.intersect1d
+    monkeypatch.setattr(np, "intersect1d", lambda a, b, **kw: (products.append(len(a) * len(b)), real(a, b, **kw))[1])
+    found = sorted(zip(*topk._cell(queries, candidates, pivots, 5)))
+    assert found == sorted((q, i, s) for q, _, i, s in plain(some, 5, 5))
+    assert sum(products) < 0.7 * queries.num_rows * candidates.num_rows
+
+
+def test_most_cells_never_meet_on_clustered_data(spark):
+    """Far clusters: a block of queries meets the blocks of its own cluster only."""
+    centres = [[rng.gauss(0, 10) for _ in range(16)] for _ in range(40)]
+    some = [(i, [c + rng.gauss(0, 0.1) for c in rng.choice(centres)]) for i in range(4000)]
+    df = spark.createDataFrame(some, SCHEMA)
+    met, real, every, bounds = [], topk._meet, [], topk.cells
+    try:
+        topk._meet = lambda chosen, *rest: (met.append(chosen.count()), real(chosen, *rest))[1]
+        topk.cells = lambda *args: (every.append(bounds(*args).count()), bounds(*args))[1]
+        found = got(df, 5, 20, query_block=20, candidate_block=100)
+    finally:
+        topk._meet, topk.cells = real, bounds
+    assert found == plain(some, 5, 20)
+    # a block of queries holds about five of the forty clusters
+    assert sum(met) < 0.5 * every[0]
+
+
+def test_copies_and_ties(spark):
+    """Very many equal vectors in one group: parts by a hash, ties to the smaller id."""
+    some = [(i, [1.0, 0.0, 0.5]) for i in range(900)] + [(1000 + i, [0.2, 0.1 * i, 0.0]) for i in range(30)]
+    rng.shuffle(some)
+    assert got(spark.createDataFrame(some, SCHEMA), 7, 50, query_block=8, candidate_block=64) == plain(some, 7, 50)
 
 
 def test_odd_vectors(spark):
