@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from seqrec.llm import linking
 from seqrec.llm.common import column, fresh
 from seqrec.llm.shingles import Sketch, matrix
-from seqrec.operators.skew import HOT_ROWS
 from seqrec.session import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -79,20 +78,19 @@ def _buckets(texts: DataFrame) -> DataFrame:
     return cut_lineage(held.join(buckets, "fp").select("bucket", part.alias("part"), "tid"))
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, hot_rows: int = HOT_ROWS,
-                crowd: int = linking.CROWD) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, crowd: int = linking.CROWD) -> DataFrame:
     """One row per document: ``doc_id`` and ``component_id``, the smallest id reachable over near copies."""
     rule = linking.Rule(Sketch(SHINGLE_WORDS, PRINTS * (BITS + 1)), *SIMILARITY)
     plain = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
     rows = linking.sketched(plain, rule.sketch, "doc_id", "text")
     corpus = linking.Corpus(plain, rows, rule)
-    found = linking.links(corpus, _buckets(corpus.texts), _shared, hot_rows=hot_rows, crowd=crowd)
-    return corpus.component_ids(rows.select("doc_id", "k1", "k2"), found, hot_rows=hot_rows).select("doc_id", "component_id")
+    roots = linking.links(corpus, _buckets(corpus.texts), _shared, crowd=crowd)
+    return corpus.component_ids(rows.select("doc_id", "k1", "k2"), roots).select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of the documents that stay: the smallest id of each component. Rows without id stay."""
-    found = near_copies(docs, doc_id, text, hot_rows=hot_rows)
+    found = near_copies(docs, doc_id, text)
     (key,) = fresh(docs, "_dropped_id")
     dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
     return docs.join(dropped, column(doc_id) == column(key), "left_anti")

@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sketched = cut_lineage(docs.select(column(doc_id).alias("doc_id"), fingerprints(column(text), words).alias("fp")))
     prints = cut_lineage(sketched.groupBy("fp").agg(F.min("doc_id").alias("least_id"),
                                                     F.count(F.lit(1)).alias("n_rows")))
-    found = components.components(links(prints, radius), "a", "b", hot_rows=hot_rows)
+    found = components.components(links(prints, radius), "a", "b")
     placed = prints.join(found.withColumnRenamed("u", "fp"), "fp", "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root"))
     placed = cut_lineage(placed)
