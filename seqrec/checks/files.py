@@ -8,7 +8,7 @@ from seqrec.checks.registry import INTERACTIONS, VECTORS, check, vector_text, ve
 from seqrec.operators import ids, sequences
 from seqrec.plans import prepare, views
 from seqrec.session import ensure_checkpoint_dir
-from seqrec.sinks import tables
+from seqrec.sinks import ledger, tables
 from seqrec.sources import embeddings, ratings, registry
 from seqrec.sources.catalogue import read_catalogue_ids
 
@@ -93,19 +93,29 @@ def file_embedding_parts(spark, sf_dir):
     return found.select("item_id", vector_units(F.col("embedding").cast("array<double>")).alias("vector"))
 
 
-@check("""SELECT CAST(p_partkey AS VARCHAR) AS item_id, CASE WHEN p_size % 2 = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS pass
-FROM part""")
+CHUNK, WAVE, WAVES = 150, 2, 3
+
+
+@check(f"""WITH n AS (SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_size % 2 = 0 AS early FROM part),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY early ORDER BY item_id) - 1) // {CHUNK} AS nth FROM n)
+SELECT item_id, CASE WHEN early AND nth < {WAVE * WAVES} THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS pass FROM placed""")
 def file_resumed_embeddings(spark, sf_dir):
-    """Half of the items embedded first, then all: the first half is not embedded again."""
+    """Half of the items planned and the run interrupted, then all: finished chunks are not embedded again.
+
+    The interruption leaves a chunk that is half written; its rows must not be seen.
+    """
     path = scratch(spark)
     texts = views.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("item_id"), "p_size")
 
     def embed(number):
         return lambda rows: rows.select("item_id", F.array(F.lit(float(number))).alias("embedding"))
 
-    tables.append_missing_embeddings(texts.filter(F.col("p_size") % 2 == 0), embed(1), path)
-    tables.append_missing_embeddings(texts, embed(2), path)
-    return spark.read.parquet(path).select("item_id", F.col("embedding")[0].alias("pass"))
+    chunks = ledger.ChunkLedger(spark, path, CHUNK)
+    chunks.run(texts.filter(F.col("p_size") % 2 == 0), embed(1), chunks_per_wave=WAVE, most_waves=WAVES)
+    torn = texts.filter(F.col("p_size") % 4 == 0).select("item_id", F.array(F.lit(9.0)).alias("embedding"), F.lit(WAVE * WAVES).alias("chunk"))
+    torn.write.partitionBy("chunk").parquet(f"{path}/chunks/data-torn")
+    chunks.run(texts, embed(2), chunks_per_wave=WAVE * 8)
+    return chunks.read().select("item_id", F.col("embedding")[0].alias("pass"))
 
 
 @check(f"""WITH {INTERACTIONS}, f AS (
@@ -117,11 +127,15 @@ SELECT CAST(item_id AS VARCHAR) AS original_id, row_number() OVER (ORDER BY seen
 UNION ALL
 SELECT CAST(item_id AS VARCHAR), row_number() OVER (ORDER BY seen) - 1 + (SELECT count(*) FROM e) FROM f WHERE NOT early""")
 def file_lookup_versions(spark, sf_dir):
-    """A lookup of the returned items, then a second version with all; the latest is read."""
+    """A lookup of the returned items, then a second version with all; the latest is read.
+
+    A third version that was never finished lies beside them.
+    """
     root, rows = scratch(spark), views.interactions(spark, sf_dir)
     first = ids.assign_ids(ids.raw_keys(rows.filter(F.col("ser_label") == 1), "item_id", ["ord"]))
     tables.write_lookup(first, root, 1)
     tables.write_lookup(ids.assign_ids(ids.raw_keys(rows, "item_id", ["ord"]), tables.read_lookup(spark, root)), root, 2)
+    first.withColumn("normalized_id", F.col("normalized_id") + 1).write.parquet(f"{root}/data-torn")
     return tables.read_lookup(spark, root).select("original_id", "normalized_id")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqrec.operators import examples, item_text, quantizer, sequences
 from seqrec.plans import evaluate, prepare, semantic
-from seqrec.sinks import tables
+from seqrec.sinks import ledger, tables
 from seqrec.sources import catalogue, embeddings, ratings, registry
 from seqrec.streaming import frequency, lookups
 
@@ -118,7 +118,7 @@ def test_resume_embeds_only_what_is_missing(spark, tmp_path):
     tables.append_missing_embeddings(texts("ab"), embed, path)
     tables.append_missing_embeddings(texts("abc"), embed, path)
     assert calls == [["a", "b"], ["c"]]
-    assert sorted(r["item_id"] for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+    assert sorted(r["item_id"] for r in ledger.ChunkLedger(spark, path).read().collect()) == ["a", "b", "c"]
 
 
 def test_write_once(spark, tmp_path):
