@@ -15,6 +15,7 @@ K = 20
 LENGTH = 50
 ALPHA = 0.5
 HIDDEN = 4
+BLOCK_BYTES = 200_000
 
 
 def expert_layers() -> list:
@@ -97,6 +98,14 @@ def topk_excluding_history(spark, sf_dir):
     return Setting(spark, sf_dir).ranked.withColumn("score", F.round("score", 6))
 
 
+@check(f"{TOP} SELECT user_id, rank, item_id, round(score, 6) AS score FROM top")
+def topk_best_first(spark, sf_dir):
+    """The same lists with the items in several blocks, met in the order of their bounds."""
+    run = Setting(spark, sf_dir)
+    best = retrieval.top_k(run.queries, run.candidates, K, exclude="history", block_bytes=BLOCK_BYTES)
+    return best.withColumn("score", F.round("score", 6))
+
+
 @check(f"""{QUERIES}
 SELECT user_id, (SELECT count(*) FROM cand) - len(list_distinct(history)) AS n_candidates FROM query""")
 def valid_candidates(spark, sf_dir):

@@ -1,14 +1,22 @@
 """Exact top-k retrieval by inner product.
 
-Queries and items are cut into shards and blocks by hash, and every
-(shard, block) cell is one matrix product inside one task; only the k best
-rows per query leave a cell. Excluded ids are masked before the selection, so
-nothing is over-fetched.
+Items are grouped around centroids into blocks of bounded bytes. A block keeps
+its centroid c, its radius r and its largest norm, so the score of a query q
+with any of its items is at most ``min(q.c + |q| r, |q| norm)``. Retrieval goes
+best first: each query meets the block with its highest bound; the k-th score
+it finds there is its threshold, and of the other blocks it meets only those
+whose bound reaches the threshold. A query travels to the blocks it meets, not
+to all, and an excluded id travels to the one block that holds its item. Items
+that fit into one block need no bounds and are met at once.
+
+A cell is one matrix product inside one task; excluded ids are masked before
+the selection, so nothing is over-fetched, and only k rows per query leave it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +26,14 @@ from pyspark.sql.types import StructField, StructType
 
 from seqrec.functions import vectors
 from seqrec.operators import skew
-from seqrec.session import once
+from seqrec.session import cut_lineage, once
 
 BLOCK_BYTES = 128 * 1024 * 1024
 SMALLEST_SHARD = 512
 SCORES_IN_MEMORY = 4_000_000
+MOST_CENTROIDS = 1024
+SAMPLE = 8192
+ROUNDS = 4
 
 
 def candidates(universe: DataFrame, table: DataFrame, *, eps: float = 1e-6,
@@ -53,8 +64,9 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _best_in_block(queries: np.ndarray, excluded: list[np.ndarray] | None, ids: np.ndarray,
-                   items: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Yield (query row, item id, score) of the k best items per query.
+                   items: np.ndarray, k: int,
+                   least: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Yield (query row, item id, score) of the k best items per query, of those that reach ``least``.
 
     ``ids`` is sorted. The matrix product only preselects, with a tolerance;
     the kept pairs are scored again row by row, so equal vectors have equal
@@ -77,6 +89,8 @@ def _best_in_block(queries: np.ndarray, excluded: list[np.ndarray] | None, ids:
             floor = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] - slack
         else:
             floor = np.full(len(part), -np.finfo(np.float64).max)
+        if least is not None:
+            floor = np.maximum(floor, least[start:start + step] - slack)
         row, at = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
         exact = np.empty(len(row))
         piece = max(1, SCORES_IN_MEMORY // max(1, items.shape[1]))
@@ -90,6 +104,157 @@ def _best_in_block(queries: np.ndarray, excluded: list[np.ndarray] | None, ids:
         yield row[keep] + start, ids[at[keep]], exact[keep]
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """Each block's centroid, radius and largest norm (at most a few thousand rows)."""
+
+    centroids: np.ndarray
+    radius: np.ndarray
+    norm: np.ndarray
+
+    def upper(self, queries: np.ndarray) -> np.ndarray:
+        """Upper bounds of the scores of each query in each block, a little more than rounding needs."""
+        size = np.sqrt((queries ** 2).sum(axis=1))[:, None]
+        upper = np.minimum(queries @ self.centroids.T + size * self.radius, size * self.norm)
+        return upper + 1e-9 * (1 + size * self.norm)
+
+
+def _fit_centroids(items: DataFrame, wanted: int) -> np.ndarray:
+    """Centroids of at most ``SAMPLE`` vectors in the order of a hash; they steer the work only."""
+    some = items.orderBy(F.xxhash64("item_id"), "item_id").limit(SAMPLE).select(F.col("embedding").cast(vectors.DOUBLES).alias("v"))
+    points = vectors.as_matrix(some.toArrow().column(0).combine_chunks())
+    chosen, nearest, at = [], np.full(len(points), np.inf), 0
+    while len(chosen) < wanted and nearest[at] > 0:
+        chosen.append(at)
+        nearest = np.minimum(nearest, ((points - points[at]) ** 2).sum(axis=1))
+        at = int(np.argmax(nearest))
+    centroids = points[chosen]
+    for _ in range(ROUNDS):
+        own = _nearest(points, centroids)[0]
+        counts = np.bincount(own, minlength=len(centroids))
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, own, points)
+        centroids = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centroids)
+    return centroids
+
+
+def _nearest(points: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each point and the distance to it."""
+    square = (points ** 2).sum(axis=1)[:, None] + (centroids ** 2).sum(axis=1) - 2 * (points @ centroids.T)
+    own = square.argmin(axis=1)
+    return own, np.sqrt(((points - centroids[own]) ** 2).sum(axis=1))
+
+
+def blocked(items: DataFrame, blocks: int) -> tuple[DataFrame, Bounds]:
+    """Items with their ``_block``, around centroids, in about ``blocks`` blocks of nearly equal size: a large group is cut by a hash of the id."""
+    centroids = _fit_centroids(items, min(blocks, MOST_CENTROIDS))
+
+    @F.arrow_udf("struct<near:int,away:double,norm:double>")
+    def placed(column: pa.Array) -> pa.Array:
+        points = vectors.as_matrix(column)
+        if not len(points):
+            return pa.array([], pa.struct([("near", pa.int32()), ("away", pa.float64()), ("norm", pa.float64())]))
+        own, away = _nearest(points, centroids)
+        return pa.StructArray.from_arrays(
+            [pa.array(own.astype(np.int32)), pa.array(away), pa.array(np.sqrt((points ** 2).sum(axis=1)))], ["near", "away", "norm"])
+
+    near = cut_lineage(items.select("item_id", "embedding", placed(F.col("embedding").cast(vectors.DOUBLES)).alias("p"))
+                       .select("item_id", "embedding", "p.*"))
+    counts = sorted(tuple(r) for r in near.groupBy("near").count().collect())  # one row per centroid
+    limit, first, table = max(1, -(-sum(n for _, n in counts) // blocks)), 0, []
+    for group, n in counts:
+        table.append((group, first, -(-n // limit)))
+        first += -(-n // limit)
+    parts = F.broadcast(items.sparkSession.createDataFrame(table, "near int, first int, parts int"))
+    own = F.col("first") + F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int")
+    done = cut_lineage(near.join(parts, "near").select("item_id", "embedding", "near", "away", "norm", own.alias("_block")))
+    seen = {r["_block"]: r for r in done.groupBy("_block").agg(
+        F.min("near").alias("near"), F.max("away").alias("away"), F.max("norm").alias("norm")).collect()}
+    # a block that no item fell into has nothing to find
+    rows = [seen.get(i) for i in range(first)]
+    bounds = Bounds(np.stack([centroids[r["near"]] if r else np.zeros(centroids.shape[1]) for r in rows]),
+                    np.array([r["away"] if r else 0.0 for r in rows]), np.array([r["norm"] if r else -np.inf for r in rows]))
+    return done.select("item_id", "embedding", "_block"), bounds
+
+
+def _meet(asked: DataFrame, items: DataFrame, k: int, user: str, listed: str | None, block_bytes: int,
+          parallelism: int) -> DataFrame:
+    """The k best of each query in each block it asks: ``asked`` has the user, embedding, ``_block``, perhaps ``_least`` and a list.
+
+    The queries of a block are dealt to as many shards as keep their bytes
+    within ``block_bytes``, and the block goes to each of them.
+    """
+    width = F.size("embedding") + (F.greatest(F.coalesce(F.size(listed), F.lit(0)), F.lit(0)) if listed else F.lit(0))
+    n = F.count(F.lit(1))
+    loads = asked.groupBy("_block").agg(F.ceil(F.sum(width) * 8 / block_bytes).alias("fitting"), n.alias("n"))
+    spread = F.least(F.lit(parallelism), F.ceil(F.col("n") / SMALLEST_SHARD))
+    shards = F.broadcast(cut_lineage(loads.select("_block", F.greatest(F.lit(1), "fitting", spread).cast("int").alias("_shards"))))
+    left = asked.join(shards, "_block").withColumn("_shard", F.pmod(F.xxhash64(user), F.col("_shards")).cast("int")).drop("_shards")
+    right = items.join(shards, "_block").select(
+        "item_id", "embedding", F.col("_block").alias("_of_block"), F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("_of_shard"))
+    kinds = (asked.schema[user].dataType, items.schema["item_id"].dataType)
+    schema = StructType([StructField(user, kinds[0]), StructField("item_id", kinds[1])]).add("score", "double")
+    has_least = "_least" in asked.columns
+
+    def cell(queries: pa.Table, block: pa.Table) -> pa.Table:
+        names = [user, "item_id", "score"]
+        if queries.num_rows == 0 or block.num_rows == 0:
+            return pa.table([pa.array([], type=queries.schema.field(user).type) if queries.num_columns else pa.array([], pa.int64()),
+                             pa.array([], type=block.schema.field("item_id").type) if block.num_columns else pa.array([], pa.int64()),
+                             pa.array([], pa.float64())], names=names)
+        ids = block["item_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, matrix = ids[order], _matrix(block["embedding"])[order]
+        lists = None
+        if listed:
+            lists = [np.asarray(x if x is not None else [], dtype=ids.dtype) for x in queries[listed].to_pandas()]
+        least = queries["_least"].to_numpy() if has_least else None
+        parts = list(_best_in_block(_matrix(queries["embedding"]), lists, ids, matrix, k, least))
+        row = np.concatenate([p[0] for p in parts])
+        return pa.table([queries[user].take(pa.array(row)).combine_chunks(), pa.array(np.concatenate([p[1] for p in parts])),
+                         pa.array(np.concatenate([p[2] for p in parts]))], names=names)
+
+    return left.groupBy("_block", "_shard").cogroup(right.groupBy("_of_block", "_of_shard")).applyInArrow(cell, schema)
+
+
+def _best_first(queries: DataFrame, items: DataFrame, bounds: Bounds, k: int, user: str, exclude: str | None, block_bytes: int,
+                parallelism: int) -> DataFrame:
+    """Lists of all queries: their best block first, then every block whose bound reaches the k-th score."""
+    @F.arrow_udf("int")
+    def best(column: pa.Array) -> pa.Array:
+        return pa.array(bounds.upper(vectors.as_matrix(column)).argmax(axis=1).astype(np.int32) if len(column) else [], pa.int32())
+
+    @F.arrow_udf("array<int>")
+    def others(column: pa.Array, first: pa.Array, least: pa.Array) -> pa.Array:
+        if not len(column):
+            return pa.array([], pa.list_(pa.int32()))
+        wanted = bounds.upper(vectors.as_matrix(column)) >= least.to_numpy(zero_copy_only=False)[:, None]
+        wanted &= bounds.norm > -np.inf
+        wanted[np.arange(len(wanted)), first.to_numpy(zero_copy_only=False)] = False
+        row, block = np.nonzero(wanted)
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(wanted) + 1)).astype(np.int32)), pa.array(block.astype(np.int32)))
+
+    wide = F.col("embedding").cast(vectors.DOUBLES)
+    asked = cut_lineage(queries.select(user, "embedding", best(wide).alias("_block")))
+    listed = None
+    if exclude:
+        # each excluded id meets the one block that holds its item
+        pairs = queries.select(user, F.explode(F.array_distinct(exclude)).alias("item_id"))
+        held = skew.spread_join(pairs, items.select("item_id", "_block"), ["item_id"])
+        listed, gone = "_gone", cut_lineage(held.groupBy(user, "_block").agg(F.collect_list("item_id").alias("_gone")))
+
+    def met(cells: DataFrame) -> DataFrame:
+        cells = cells.join(gone, [user, "_block"], "left") if exclude else cells
+        return _meet(cells, items, k, user, listed, block_bytes, parallelism)
+
+    found = cut_lineage(met(asked))
+    # at most k rows per user so far
+    reached = found.groupBy(user).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_least")).filter(F.col("_n") == k)
+    armed = asked.join(reached.select(user, "_least"), user, "left").withColumn("_least", F.coalesce("_least", F.lit(float("-inf"))))
+    more = armed.select(user, "embedding", "_least", F.explode(others(wide, F.col("_block"), F.col("_least"))).alias("_block"))
+    return found.unionByName(met(cut_lineage(more)))
+
+
 def top_k(queries: DataFrame, items: DataFrame, k: int, *, user: str = "user_id",
           exclude: str | None = None, block_bytes: int = BLOCK_BYTES,
           parallelism: int | None = None) -> DataFrame:
@@ -98,12 +263,8 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, *, user: str = "user_id"
     ``queries``: user, embedding, and optionally an array column ``exclude``
     of item ids that may not be returned to that user. ``items``: item_id,
     embedding; one row per id. Ties go to the smaller item id; fewer than k
-    rows are returned when fewer candidates are left.
-
-    The data moved is queries x blocks plus items x shards. Both counts follow
-    from the table sizes: as few as keep the vectors of a shard and of a block
-    within ``block_bytes`` each, but enough shards for ``parallelism`` tasks.
-    Ids are unique on both sides, so shards and blocks are even.
+    rows are returned when fewer candidates are left. Vectors move in the type
+    they come in and are doubles inside a task.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -111,54 +272,13 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, *, user: str = "user_id"
         parallelism = queries.sparkSession.sparkContext.defaultParallelism
     # a user or item without a vector has no score
     queries, items = (once(t.filter(F.col("embedding").isNotNull())) for t in (queries, items))
-    vector = F.col("embedding").cast(vectors.DOUBLES).alias("embedding")
-    n = F.count(F.lit(1))
-    fitting = F.ceil(F.sum(F.size("embedding")) * 8 / block_bytes)  # doubles
-    blocks = items.agg(F.greatest(F.lit(1), fitting).cast("int").alias("blocks")).scalar()
-    listed_size = F.coalesce(F.size(exclude), F.lit(0)) if exclude else F.lit(0)
-    with_lists = F.ceil(F.sum(F.size("embedding") + F.greatest(listed_size, F.lit(0))) * 8 / block_bytes)
-    shards = queries.agg(F.greatest(
-        F.lit(1), with_lists, F.least(F.lit(parallelism), F.ceil(n / SMALLEST_SHARD))).cast("int")
-        .alias("shards")).scalar()
-
-    listed = [exclude] if exclude else []
-    left = queries.select(
-        user, vector, *listed,
-        F.pmod(F.xxhash64(user), shards).cast("int").alias("_shard"),
-        F.explode(F.sequence(F.lit(0), blocks - F.lit(1))).alias("_block"))
-    right = items.select(
-        "item_id", vector,
-        F.pmod(F.xxhash64("item_id"), blocks).cast("int").alias("_block"),
-        F.explode(F.sequence(F.lit(0), shards - F.lit(1))).alias("_shard"))
-
-    user_field = queries.schema[user]
-    item_field = items.schema["item_id"]
-    schema = StructType([StructField(user, user_field.dataType),
-                         StructField("item_id", item_field.dataType)]).add("score", "double")
-
-    def cell(query_table: pa.Table, item_table: pa.Table) -> pa.Table:
-        names = [user, "item_id", "score"]
-        if query_table.num_rows == 0 or item_table.num_rows == 0:
-            return pa.table([pa.array([], type=query_table.schema.field(user).type)
-                             if query_table.num_columns else pa.array([], pa.int64()),
-                             pa.array([], type=item_table.schema.field("item_id").type)
-                             if item_table.num_columns else pa.array([], pa.int64()),
-                             pa.array([], pa.float64())], names=names)
-        ids = item_table["item_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, block = ids[order], _matrix(item_table["embedding"])[order]
-        lists = None
-        if exclude:
-            lists = [np.asarray(x if x is not None else [], dtype=ids.dtype)
-                     for x in query_table[exclude].to_pandas()]
-        parts = list(_best_in_block(_matrix(query_table["embedding"]), lists, ids, block, k))
-        row = np.concatenate([p[0] for p in parts])
-        return pa.table([query_table[user].take(pa.array(row)).combine_chunks(),
-                         pa.array(np.concatenate([p[1] for p in parts])),
-                         pa.array(np.concatenate([p[2] for p in parts]))], names=names)
-
-    best = (left.groupBy("_shard", "_block")
-            .cogroup(right.groupBy("_shard", "_block")).applyInArrow(cell, schema))
+    size = items.agg(F.sum(F.size("embedding").cast("long") * 8)).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    if blocks == 1:
+        asked = queries.select(user, "embedding", *([exclude] if exclude else []), F.lit(0).alias("_block"))
+        best = _meet(asked, items.withColumn("_block", F.lit(0)), k, user, exclude, block_bytes, parallelism)
+    else:
+        best = _best_first(queries, *blocked(items, blocks), k, user, exclude, block_bytes, parallelism)
     ranked = skew.top_per_group(best, [user], [F.desc("score"), F.asc("item_id")], k)
     return ranked.select(user, "rank", "item_id", "score")
 

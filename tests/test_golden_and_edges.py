@@ -374,6 +374,29 @@ def test_topk_in_any_blocking(vector_tables, block_bytes, exclude):
         assert [i for _, i in sorted(got[user])] == [i for _, i in sorted(scored)[:15]]
 
 
+@pytest.mark.parametrize("exclude", [None, "history"])
+def test_most_cells_never_meet(spark, monkeypatch, exclude):
+    """Far clusters: a query meets the block of its own cluster, and others only where its bound allows."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 16)) * 3
+    items = [(i, (centres[i % 30] + rng.normal(size=16) * 0.05).tolist()) for i in range(3000)]
+    queries = [(u, (centres[u % 30] + rng.normal(size=16) * 0.05).tolist(), [u % 30, u % 30 + 30, 10**6]) for u in range(200)]
+    met, real = [], retrieval._meet
+    monkeypatch.setattr(retrieval, "_meet", lambda asked, *rest: (met.append(asked.count()), real(asked, *rest))[1])
+    found = retrieval.top_k(spark.createDataFrame(queries, "user_id long, embedding array<double>, history array<long>"),
+                            spark.createDataFrame(items, "item_id long, embedding array<float>"), 10, exclude=exclude,
+                            block_bytes=100 * 16 * 8).collect()
+    vectors = np.array([v for _, v in items], np.float32).astype(float)
+    got = {}
+    for r in found:
+        got.setdefault(r["user_id"], []).append((r["rank"], r["item_id"]))
+    for user, vector, history in queries:
+        scores = (np.asarray(vector) * vectors).sum(axis=1)
+        best = sorted((-s, i) for i, s in enumerate(scores.tolist()) if exclude is None or i not in history)[:10]
+        assert [i for _, i in sorted(got[user])] == [i for _, i in best]
+    assert sum(met) < 0.2 * 200 * 30
+
+
 def test_topk_returns_what_is_left(spark):
     items = spark.createDataFrame([(1, [1.0]), (2, [0.5])], "item_id long, embedding array<double>")
     q = spark.createDataFrame([(7, [1.0], [1]), (8, [1.0], [1, 2]), (9, [1.0], None)],
