@@ -8,9 +8,10 @@ costs the difference of the ranks, one that it lacks costs the profile size.
 The smallest sum wins.
 
 Three code points of 21 bits fit a 64-bit number, so n-grams are counted as
-exact numbers, without hashing. Counting a text goes in blocks: memory is
-bounded by the block and the distinct n-grams, however long the text; a word
-that a block's end cuts counts as two.
+exact numbers, without hashing. Counting a text goes in blocks that end between
+words: memory is bounded by the block, the longest word and the distinct
+n-grams, however long the text. Letters are the characters of the Unicode
+categories L; digits and other numerals are none.
 
 Defined cases: null texts and texts without a letter get the language ``und``
 and score 0; equal counts rank the n-gram with the smaller number first; equal
@@ -22,6 +23,7 @@ other columns are not touched.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +39,15 @@ UNDETERMINED = "und"
 PROFILE_SIZE = 400
 BLOCK = 1 << 20
 
-_NO_LETTER = re.compile(r"[\W\d_]+")
+def _numerals() -> str:
+    """Word characters that are neither letters nor decimal digits, as ranges of a character class: ``½``, ``²``, ``①`` and the like."""
+    points = [c for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()]
+    first = [c for i, c in enumerate(points) if i == 0 or points[i - 1] != c - 1]
+    last = [c for i, c in enumerate(points) if i + 1 == len(points) or points[i + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last))
+
+
+_NO_LETTER = re.compile(rf"[\W\d_{_numerals()}]+")
 
 
 def _ngrams(block: str) -> np.ndarray:
@@ -67,13 +77,22 @@ def _merged(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return distinct, np.bincount(where, counts, len(distinct)).astype(np.int64)
 
 
+def _blocks(text: str) -> Iterator[str]:
+    """A text in blocks that end where no letter is, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        gap = _NO_LETTER.search(text, at + BLOCK)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a whole text and their counts."""
-    text = (text or "").lower()
-    total = _counted(_ngrams(text[:BLOCK]))
-    for at in range(BLOCK, len(text), BLOCK):
-        more = _counted(_ngrams(text[at:at + BLOCK]))
-        total = _merged(*(np.concatenate(x) for x in zip(total, more)))
+    total = _counted(_ngrams(""))
+    for block in _blocks((text or "").lower()):
+        more = _counted(_ngrams(block))
+        total = _merged(*(np.concatenate(x) for x in zip(total, more))) if len(total[0]) else more
     return total
 
 

@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from seqrec.llm import linking, near_copies
 
-from .test_minhash import families, plain_rows, plain_set, with_passage
+from .test_minhash import families, plain_rows, plain_set, tested, with_passage
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -54,7 +54,7 @@ def test_pairs_of_a_common_passage_grow_with_the_texts(spark, monkeypatch, crowd
     counted = []
     for n in (200, 400):
         tried, real = [], linking.Corpus.confirmed
-        monkeypatch.setattr(linking.Corpus, "confirmed", lambda self, pairs: (tried.append(pairs.count()), real(self, pairs))[1])
+        monkeypatch.setattr(linking.Corpus, "confirmed", lambda self, lists, wanted: (tried.append(tested(lists)), real(self, lists, wanted))[1])
         rows = list(enumerate(with_passage(random.Random(n), n, 75, 25)))
         got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()
         monkeypatch.undo()
