@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seqrec.functions.text import casefold
 from seqrec.operators import skew
-from seqrec.session import once
+from seqrec.operators.counts import Counts
+from seqrec.session import cut_lineage, once
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -67,9 +70,19 @@ def invalid_numbers(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.agg(*[F.count_if(number(df, c, k).isNull()).alias(f"invalid_{c}") for c, k in columns.items()])
 
 
-def lenient_numbers(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Cast text columns and drop the rows where any of them is not a number."""
+def lenient_numbers(df: DataFrame, columns: dict[str, str], *, counts: Counts | None = None,
+                    step: str = "numbers") -> DataFrame:
+    """Cast text columns and drop the rows where any of them is not a number.
+
+    ``counts`` gets ``rows``, ``kept`` and, per column, ``invalid_<column>`` in the same pass.
+    """
     cast = df.withColumns({n: number(df, n, k) for n, k in columns.items()})
+    if counts is not None:
+        valid = F.lit(True)
+        for name in columns:
+            valid = valid & F.col(name).isNotNull()
+        cast = counts.watch(step, cast, rows=F.count(F.lit(1)), kept=F.count_if(valid),
+                            **{f"invalid_{c}": F.count_if(F.col(c).isNull()) for c in columns})
     return cast.dropna(subset=list(columns))
 
 
@@ -114,13 +127,73 @@ def folded(df: DataFrame, user: str = "user_id", item: str = "item_id") -> DataF
     return df.withColumns({f: casefold(F.col(c).cast("string")) for f, c in zip(FOLDED, (user, item))})
 
 
+# sixteen bits a pair and four hashes: about one row in 420 of those not held out is a possible hit
+BITS_PER_PAIR, HASHES = 16, 4
+MOST_FILTER_BYTES = 64 << 20
+
+
+def possible_hits(pairs: DataFrame, keys: Sequence[str]) -> Callable[[], Column] | None:
+    """A filter for rows that may be among ``pairs``: never false for one that is.
+
+    The bits are set and merged in the tasks, 32,768 of them a row, and handed
+    to every task as one array. Beyond ``MOST_FILTER_BYTES`` there is no filter.
+    """
+    n = pairs.count()
+    bits = 1 << max(15, (n * BITS_PER_PAIR - 1).bit_length())
+    if bits // 8 > MOST_FILTER_BYTES:
+        return None
+
+    def places() -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(i), *keys), F.lit(bits)) for i in range(HASHES)]
+
+    found = pairs.select(F.explode(F.array(*places())).alias("at")).groupBy(
+        F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    # bucket b holds the places from (b - 1) * 32768 + 1 on; place 0 is in bucket 0
+    table = np.zeros(bits // 8 + 8192, np.uint8)
+    for row in found.collect():
+        begin = row["bucket"] * 4096
+        table[begin:begin + 4096] |= np.frombuffer(bytes(row["bits"]), np.uint8)
+
+    @F.arrow_udf("boolean")
+    def maybe(*columns: pa.Array) -> pa.Array:
+        hit = np.ones(len(columns[0]), bool)
+        for column in columns:
+            at = column.to_numpy(zero_copy_only=False)
+            bucket = np.where(at > 0, 1 + (at - 1) // 32768, 0)
+            position = np.where(at > 0, (at - 1) % 32768, 0)
+            hit &= (table[bucket * 4096 + position // 8] >> (position % 8).astype(np.uint8)) & 1 == 1
+        return pa.array(hit)
+
+    return lambda: maybe(*places())
+
+
 def remove_leaks(ratings: DataFrame, holdout: DataFrame, *, user: str = "user_id",
-                 item: str = "item_id", hot_rows: int = skew.HOT_ROWS) -> DataFrame:
-    """Drop ratings whose case-folded (user, item) pair is in the hold-out."""
-    pairs = folded(holdout, user, item).select(*FOLDED).distinct()
+                 item: str = "item_id", hot_rows: int = skew.HOT_ROWS, counts: Counts | None = None,
+                 step: str = "leaks") -> DataFrame:
+    """Drop ratings whose case-folded (user, item) pair is in the hold-out.
+
+    Rows that a bit filter of the pairs rules out stay where they are; only
+    possible hits meet the pairs. ``counts`` gets ``possible``, the rows that
+    met them, and ``removed``.
+    """
+    pairs = once(folded(holdout, user, item).select(*FOLDED).dropna().distinct())
     # the rows are read more than once
     facts = once(folded(ratings, user, item))
-    return skew.salted_anti_join(facts, pairs, FOLDED, FOLDED[:1], hot_rows=hot_rows).drop(*FOLDED)
+    hit = possible_hits(pairs, FOLDED)
+    known = F.col(FOLDED[0]).isNotNull() & F.col(FOLDED[1]).isNotNull()
+    passed = facts.filter(~known)
+    if hit is None:
+        possible = facts.filter(known)
+    else:
+        marked = facts.filter(known).withColumn("_possible", hit())
+        passed = passed.unionByName(marked.filter(~F.col("_possible")).drop("_possible"))
+        possible = marked.filter("_possible").drop("_possible")
+    seen = Observation()
+    possible = cut_lineage(possible.observe(seen, F.count(F.lit(1)).alias("rows")))
+    kept = cut_lineage(skew.salted_anti_join(possible, pairs, FOLDED, FOLDED[:1], hot_rows=hot_rows))
+    if counts is not None:
+        counts.record(step, possible=int(seen.get["rows"]), removed=int(seen.get["rows"]) - kept.count())
+    return passed.unionByName(kept).drop(*FOLDED)
 
 
 def column_status(df: DataFrame, columns: Sequence[str]) -> DataFrame:
