@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seqrec.llm import decontaminate, infill, langid, licences, lines, minhash, mixing, pii, shards, simhash, spelling, topk, warc
 from seqrec.llm.common import table
-from seqrec.session import ensure_checkpoint_dir
+from seqrec.session import cut_lineage, ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -172,12 +172,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    found = warc.captures(warc.read_records(spark, path, keep_payload=False))
-    field = lambda name: F.try_element_at("metadata.fields", F.lit(name)).cast("long")
+    # the captures are read twice: for themselves and for what others refer to
+    found = warc.resolved(cut_lineage(warc.captures(warc.read_records(spark, path, keep_payload=False))))
+    page = lambda of: F.try_element_at(f"{of}.fields", F.lit("pageid")).cast("long")
     return found.select(
-        field("pageid").alias("page_id"), field("payloadbytes").alias("payload_bytes"),
+        page("metadata").alias("page_id"), F.coalesce("capture.payload_bytes", "original.payload_bytes").alias("payload_bytes"),
         F.col("capture.payload_digest").alias("payload_digest"), F.col("capture.type").alias("record_type"),
-        field("referstopageid").alias("refers_to"))
+        page("original.metadata").alias("refers_to"))
 
 
 _CRC_TABLE = ("(SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), "

@@ -89,10 +89,7 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
          ("WARC-Profile", F.when(is_revisit, PROFILE)), ("WARC-Refers-To", F.when(is_revisit, first)),
          ("Content-Type", "application/http; msgtype=response")],
         F.concat(http, F.when(is_revisit, F.lit("")).otherwise(F.col("payload"))))
-    fields = F.concat_ws(
-        CRLF, F.concat(F.lit("pageId: "), F.col("page_id").cast("string")),
-        F.concat(F.lit("payloadBytes: "), F.col("payload_bytes").cast("string")),
-        F.when(is_revisit, F.concat(F.lit("refersToPageId: "), F.col("first.page_id").cast("string"))))
+    fields = F.coalesce(F.concat(F.lit("pageId: "), F.col("page_id").cast("string")), F.lit(""))
     metadata = _record(
         [("WARC-Type", "metadata"), ("WARC-Record-ID", _record_id("metadata", own)), ("WARC-Concurrent-To", own),
          *common, ("Content-Type", "application/warc-fields")], F.concat(fields, F.lit(CRLF)))
@@ -208,3 +205,16 @@ def captures(parsed: DataFrame) -> DataFrame:
         one(F.col("type") == "request", "record_id", "target_uri").alias("request"),
         one(F.col("type") == "metadata", "record_id", "fields").alias("metadata"))
     return rows.filter(F.col("capture").isNotNull())
+
+
+def resolved(found: DataFrame) -> DataFrame:
+    """``captures`` and ``original``: the capture a revisit refers to, with its metadata; null for responses.
+
+    Revisits meet the response by its record identifier. Only identifiers and
+    sizes move, no payload; Spark's skew join splits the revisits of one
+    response. A revisit of a record that the archives lack has no original.
+    """
+    originals = found.filter(F.col("capture.type") == "response").select(
+        F.col("capture_id").alias("original_id"),
+        F.struct("capture_id", F.col("capture.payload_bytes").alias("payload_bytes"), "metadata").alias("original"))
+    return found.join(originals, F.col("capture.refers_to") == F.col("original_id"), "left").drop("original_id")

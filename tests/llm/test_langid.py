@@ -80,3 +80,13 @@ def test_odd_rows(odd_docs, no_docs):
     nothing = langid.fit(no_docs)
     assert nothing.grams == {} and langid.identify(no_docs, nothing).count() == 0
     assert {r["lang_pred_"] for r in langid.identify(odd_docs, nothing).collect()} == {"und"}
+
+
+def test_only_letters_count(monkeypatch):
+    for text in ("½", "² ③", "①", "Ⅷ", "१२", "_", "1 2", "٣"):
+        assert not len(langid.gram_counts(text)[0])
+    assert len(langid.gram_counts("ª")[0]) and len(langid.gram_counts("½ a")[0])
+    text = "der haus² und ½ abc 日本" * 40
+    whole = langid.gram_counts(text)
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    assert all((a == b).all() for a, b in zip(whole, langid.gram_counts(text)))
