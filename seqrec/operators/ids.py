@@ -89,8 +89,20 @@ def encode(ratings: DataFrame, column: str, lookup: DataFrame, *, fold: bool = F
     return joined.withColumn(column, F.col("_id")).select(*ratings.columns)
 
 
-def item_statistics(lookup: DataFrame) -> DataFrame:
-    return lookup.agg(F.count(F.lit(1)).alias("num_items"), F.max("normalized_id").alias("max_id"))
+def item_statistics(lookup: DataFrame, *, num_items: int | None = None, max_id: int | None = None) -> DataFrame:
+    """``num_items`` and ``max_id`` of a lookup.
+
+    Configured values are checked against the lookup; one that is not what the
+    lookup holds fails the job when the row is read.
+    """
+    found = lookup.agg(F.count(F.lit(1)).alias("num_items"), F.max("normalized_id").alias("max_id"))
+    checked = {}
+    for name, value in (("num_items", num_items), ("max_id", max_id)):
+        if value is not None:
+            wrong = F.raise_error(F.concat(F.lit(f"{name} is configured as {value}, the lookup has "),
+                                           F.coalesce(F.col(name).cast("string"), F.lit("none"))))
+            checked[name] = F.when(F.col(name).eqNullSafe(F.lit(value)), F.col(name)).otherwise(wrong.cast("long"))
+    return found.withColumns(checked) if checked else found
 
 
 def item_universe(lookup: DataFrame, shift: int = 1) -> DataFrame:

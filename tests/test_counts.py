@@ -79,3 +79,17 @@ def test_jobs_report_and_refuse_nothing(spark):
     numbers = rows.withColumn("rating", F.expr("try_cast(rating AS DOUBLE)"))
     third = prepare.prepare_product_ratings(numbers, held, minimum=1)
     assert third.counts["leaks"]["removed"] == 1 and third.counts["complete"] == {"rows": 2, "kept": 1}
+
+
+def test_configured_statistics_and_extra_columns(spark):
+    rows = spark.createDataFrame([("a", "x", 1.0, 5, 0, "web"), ("a", "y", 2.0, 6, 1, None), ("b", "x", 3.0, 7, 2, "app")],
+                                 "user_id string, item_id string, rating double, ts long, ord long, device string")
+    done = prepare.prepare_ratings(rows)
+    assert done.item_statistics(num_items=2, max_id=1).first() == done.item_statistics().first()
+    with pytest.raises(Exception, match="num_items is configured as 3, the lookup has 2"):
+        done.item_statistics(num_items=3).collect()
+    found = {r["user_id"]: [e["device"] for e in r["seq"]] for r in done.sequences(extra=["device"]).collect()}
+    assert found == {0: ["web", None], 1: ["app"]}
+    assert "device" not in done.sequences().schema["seq"].dataType.elementType.names
+    with pytest.raises(ValueError):
+        done.sequences(extra=["nowhere"])
