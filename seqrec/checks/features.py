@@ -241,12 +241,13 @@ def negatives_in_batch(spark, sf_dir):
 
 @check(f"""{_POSITIVES}, b AS (
   SELECT *, {hash_number("concat('batch|', '9|', user_id)", 15)} % 6 AS batch FROM positive),
-pool AS (SELECT batch, item_id AS negative_id,
-                row_number() OVER (PARTITION BY batch ORDER BY item_id, user_id, pos) - 1 AS slot FROM b),
-n AS (SELECT batch, count(*) AS size FROM pool GROUP BY batch),
-d AS (SELECT b.*, draw, {hash_number("concat('9|', user_id, '|', pos, '|', draw)", 15)} % size AS slot
-      FROM b JOIN n USING (batch), (SELECT CAST(unnest(range(2)) AS INTEGER) AS draw))
-SELECT batch, user_id, pos, item_id, draw, negative_id FROM d JOIN pool USING (batch, slot)""")
+pool AS MATERIALIZED (SELECT item_id AS negative_id, batch * 1000000000000 + row_number() OVER (
+    PARTITION BY batch ORDER BY item_id, user_id, pos) - 1 AS place FROM b),
+n AS MATERIALIZED (SELECT batch, count(*) AS size FROM b GROUP BY batch),
+d AS MATERIALIZED (SELECT b.*, draw, batch * 1000000000000
+    + {hash_number("concat('9|', user_id, '|', pos, '|', draw)", 15)} % size AS place
+  FROM (SELECT b.*, CAST(unnest([0, 1]) AS INTEGER) AS draw FROM b) AS b JOIN n USING (batch))
+SELECT batch, user_id, pos, item_id, draw, negative_id FROM d JOIN pool USING (place)""")
 def negatives_in_batch_repeated(spark, sf_dir):
     """Frequent ids of the batch are drawn more often."""
     return negatives.in_batch(_positives(spark, sf_dir), 2, 6, seed=9, dedup=False)
