@@ -294,6 +294,14 @@ def quantizer_fit(spark, sf_dir):
     return model.quantize(table).select("item_id", _code_text().alias("codes"))
 
 
+@check()
+def quantizer_fit_large(spark, sf_dir):
+    """The same with sixteen codes a layer and three updates, more than the SQL can follow."""
+    table = views.item_vectors(spark, sf_dir)
+    model = quantizer.fit(table, num_layers=2, codebook_size=16, max_iterations=3, seed=11)
+    return model.quantize(table).select("item_id", _code_text().alias("codes"))
+
+
 @check(f"""{_VECTOR_POINTS}, dealt AS (
   SELECT *, {hash_number("'3|0|batch|' || item_id", 15)} % 2 AS batch FROM q0),
 {_first_sql('f', 'q0', 3, 0, 8)}, b0 AS (SELECT * FROM dealt WHERE batch = 0), b1 AS (SELECT * FROM dealt WHERE batch = 1),
