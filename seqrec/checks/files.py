@@ -54,9 +54,9 @@ def file_pruned_columns(spark, sf_dir):
 @check("""SELECT item_id, CAST(row_number() OVER (ORDER BY p) - 1 AS BIGINT) AS nth
 FROM (SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_partkey AS p FROM part)""")
 def file_row_order(spark, sf_dir):
-    """Ids by the order of the rows in one file of lines, as a catalogue lists them."""
+    """Ids by the order of the rows in files of lines, as a catalogue lists them: file by file, line by line."""
     path = scratch(spark)
-    parts = views.table(spark, sf_dir, "part").repartitionByRange(1, "p_partkey").sortWithinPartitions("p_partkey")
+    parts = views.table(spark, sf_dir, "part").repartitionByRange("p_partkey").sortWithinPartitions("p_partkey")
     parts.select(F.concat(F.lit('"'), F.col("p_partkey").cast("string"), F.lit('",'), F.col("p_name"))).write.text(path)
     lookup = ids.assign_ids(ids.raw_keys(read_catalogue_ids(spark, path), "item_id", ["ord"]))
     return lookup.select(F.col("original_id").alias("item_id"), F.col("normalized_id").alias("nth"))
