@@ -48,8 +48,7 @@ def test_large_group_around_the_limit(spark):
     assert 0.02 < len(pairs) / (400 * 399 / 2) < 0.95
 
 
-@pytest.mark.parametrize("crowd", [16, 2048])
-def test_pairs_of_a_common_passage_grow_with_the_texts(spark, monkeypatch, crowd):
+def test_pairs_of_a_common_passage_grow_with_the_texts(spark, monkeypatch, crowd=2048):
     """400 texts with a passage at similarity 0.6: a fingerprint alone would propose most of their 79,800 pairs."""
     counted = []
     for n in (200, 400):
