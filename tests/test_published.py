@@ -106,3 +106,19 @@ def test_repeated_items_and_nothing(spark, tmp_path):
     assert empty.run(texts.limit(0), embedder(1, [])) == ledger.State(0, 0, 0, 0, False)
     with pytest.raises(ValueError):
         ledger.ChunkLedger(spark, "x", 0)
+
+
+def test_many_waves_read_each_manifest_once(spark, tmp_path, monkeypatch):
+    """Many small waves: no manifest is read twice, the texts are dealt once, and the waves are read back together."""
+    real, opened = published._text, []
+    monkeypatch.setattr(published, "_text", lambda spark_, path: opened.append(path) or real(spark_, path))
+    texts = spark.createDataFrame([(f"i{i:03d}", "t") for i in range(40)], "item_id string, text string")
+    calls, chunks = [], ledger.ChunkLedger(spark, f"file://{tmp_path}/many", 2)
+    state = chunks.run(texts, embedder(1, calls), chunks_per_wave=1)
+    assert state.complete and state.finished_chunks == 20 and calls == [[f"i{i:03d}", f"i{i + 1:03d}"] for i in range(0, 40, 2)]
+    assert len(opened) == len(set(opened)) == 22  # the plan, the waves and the last entry
+    entries = published.manifests(spark, f"file://{tmp_path}/many/chunks")
+    assert [list(entries[n].notes["chunks"]) for n in range(20)] == [[str(n)] for n in range(20)]
+    found = chunks.read()
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("Relation") == 1
+    assert sorted(r["item_id"] for r in found.collect()) == [f"i{i:03d}" for i in range(40)]
