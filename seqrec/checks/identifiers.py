@@ -105,21 +105,24 @@ items AS ({_lookup_sql('item_id')})
 SELECT users.id AS user_id, items.normalized_id AS item_id, rating, ts
 FROM named JOIN users ON users.k = lower(name) JOIN items ON items.k = item_id""")
 def encode_ratings(spark, sf_dir):
-    rows = _mixed_names(spark, sf_dir)
-    users = cut_lineage(ids.assign_ids(ids.raw_keys(rows, "user_id", ["ord"], fold=True)))
-    items = cut_lineage(ids.assign_ids(ids.raw_keys(rows, "item_id", ["ord"])))
-    encoded = ids.encode(ids.encode(rows, "user_id", users, fold=True), "item_id", items)
-    return encoded.select("user_id", "item_id", "rating", "ts")
+    return _encoded(spark, sf_dir)
 
 
 @check(REGISTRY["encode_ratings"].sql)
 def encode_ratings_balanced(spark, sf_dir):
     """The same with every name of more than five rows treated as hot."""
-    rows = _mixed_names(spark, sf_dir)
-    users = cut_lineage(ids.assign_ids(ids.raw_keys(rows, "user_id", ["ord"], fold=True)))
-    items = cut_lineage(ids.assign_ids(ids.raw_keys(rows, "item_id", ["ord"])))
-    encoded = ids.encode(rows, "user_id", users, fold=True, hot_rows=5)
-    return ids.encode(encoded, "item_id", items, hot_rows=5).select("user_id", "item_id", "rating", "ts")
+    return _encoded(spark, sf_dir, hot_rows=5)
+
+
+def _encoded(spark, sf_dir, **options):
+    """The rows are joined from their tables once; what several steps read is written, as in the preparation."""
+    rows = cut_lineage(_mixed_names(spark, sf_dir).select("user_id", "item_id", "rating", "ts", "ord"))
+    user_keys = cut_lineage(ids.raw_keys(rows, "user_id", ["ord"], fold=True))
+    item_keys = cut_lineage(ids.raw_keys(rows, "item_id", ["ord"]))
+    users, items = (cut_lineage(ids.assign_ids(keys)) for keys in (user_keys, item_keys))
+    rows = rows.drop("ord")
+    encoded = cut_lineage(ids.encode(rows, "user_id", users, fold=True, counts=user_keys, **options))
+    return ids.encode(encoded, "item_id", items, counts=item_keys, **options)
 
 
 @check(f"""WITH {INTERACTIONS}

@@ -93,3 +93,26 @@ def test_configured_statistics_and_extra_columns(spark):
     assert "device" not in done.sequences().schema["seq"].dataType.elementType.names
     with pytest.raises(ValueError):
         done.sequences(extra=["nowhere"])
+
+
+@pytest.mark.parametrize("name", ["encode_ratings", "encode_ratings_balanced"])
+def test_encoding_joins_its_tables_once(spark, tmp_path, name):
+    """What several steps of the encoding read is a written table, not the join of the source tables again."""
+    from seqrec.checks import REGISTRY
+
+    lines = [(o, n, (o * 7 + n) % 5, 1, float(o % 9 + n), 10.0 * o, "R" if o % 3 else "N", "O") for o in range(30) for n in range(1, 4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, "
+                                 "l_extendedprice double, l_returnflag string, l_linestatus string") \
+         .withColumn("l_shipdate", F.expr("timestamp_ntz'2020-01-01 00:00:00' + make_interval(0, 0, 0, cast(l_orderkey % 11 as int))")) \
+         .write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o, o % 8) for o in range(30)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(c, f"Customer#{c}") for c in range(7)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    found = REGISTRY[name].run(spark, str(tmp_path))
+    assert not [f for f in found.inputFiles() if "lineitem.parquet" in f]
+    first = {}
+    for o, n, item, *_ in sorted(lines, key=lambda x: (x[0] % 11, x[0], x[1])):
+        if o % 8 < 7:
+            first.setdefault("u", {}).setdefault(o % 8, len(first["u"]))
+            first.setdefault("i", {}).setdefault(item, len(first["i"]))
+    expected = sorted((first["u"][o % 8], first["i"][item], float(-(-q // 10))) for o, n, item, _, q, *_ in lines if o % 8 < 7)
+    assert sorted((r["user_id"], r["item_id"], r["rating"]) for r in found.collect()) == expected
