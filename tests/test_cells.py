@@ -63,3 +63,15 @@ def test_queries_travel_by_bundles(spark, monkeypatch, exclude):
     expected = _expected(queries, items, 5, gone if exclude else [[]] * len(gone))
     assert [got[u] for u in range(150)] == expected
     assert sum(met) <= 150 * 8
+
+
+def test_only_what_may_be_among_the_best_is_scored_in_doubles(monkeypatch):
+    """Products raise the bars, so little more than k pairs per query are scored again."""
+    rng = np.random.default_rng(4)
+    items, queries = rng.normal(size=(20_000, 16)), rng.normal(size=(100, 16))
+    scored, real = [], retrieval._exact
+    monkeypatch.setattr(retrieval, "_exact", lambda q, i, row, at: (scored.append(len(row)), real(q, i, row, at))[1])
+    found = list(retrieval._best_in_blocks(queries, None, np.arange(20_000), items, 5))
+    got = {r: found[0][1][found[0][0] == r].tolist() for r in range(100)}
+    assert [got[r] for r in range(100)] == _expected(queries, items, 5, [set()] * 100)
+    assert sum(scored) <= 100 * 10
