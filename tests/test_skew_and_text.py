@@ -91,6 +91,23 @@ class adaptive_off:
             self.spark.conf.set(k, v)
 
 
+def test_numbered_rows_travel_once(spark):
+    """Small groups by one shuffle that a later grouping shares, large ones by the ranges they are sorted in."""
+    small = spark.range(4000).select((F.col("id") % 400).alias("user"), "id")
+    large = spark.range(4000).select((F.col("id") % 2).alias("user"), "id")
+    with adaptive_off(spark):
+        numbered = skew.number_rows(small, ["user"], ["id"], "n")
+        plan = numbered.groupBy("user").agg(F.max("n"))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
+        ranges = skew.number_rows(large, ["user"], ["id"], "n")
+        assert {r["id"]: r["n"] for r in ranges.collect()} == {i: i // 2 for i in range(4000)}
+        ranges = skew.number_rows(large, [], ["id"], "n").filter("n >= 0")
+        assert {r["id"]: r["n"] for r in ranges.collect()} == {i: i for i in range(4000)}
+        plan = ranges._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(_part#") <= 1  # the counts of the ranges
+    assert {r["id"]: r["n"] for r in numbered.collect()} == {i: i // 400 for i in range(4000)}
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("hot_rows", [50, 10**6])
 def test_spread_join_equals_plain_join(spark, facts, how, hot_rows):
