@@ -80,3 +80,13 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 1, 2, 5, 7, 8]
     assert near_copies.near_copies(no_docs).count() == near_copies.keep_one(no_docs).count() == 0
+
+
+def test_a_cell_gives_fewer_links_than_sets(spark):
+    """All pairs of a group of equal sets and one set apart: enough links to connect them, not one per pair."""
+    sets = [(i, list(range(40)) + ([100 + i] if i else [])) for i in range(30)] + [(30, list(range(200, 240)))]
+    lists = spark.createDataFrame([(7, a, list(range(a + 1, 31))) for a in range(30)], "cell long, a long, others array<long>")
+    wanted = spark.createDataFrame([(7, i) for i in range(31)], "cell long, tid long")
+    rule = linking.Rule(linking.Sketch(5, 168), 4, 5)
+    found = linking._confirmed(lists, wanted, spark.createDataFrame(sets, "tid long, shingles array<long>"), rule).collect()
+    assert len(found) == 29 and {i for r in found for i in (r["a"], r["b"])} == set(range(30))
