@@ -75,8 +75,9 @@ class Setting:
 
     @cached_property
     def logits(self):
-        pairs = retrieval.attach_pair_vectors(self.ranked, self.queries, self.candidates)
-        return rerank.expert_logits(pairs, expert_layers()).drop("user_vector", "item_vector")
+        users, items, layers = rerank.narrowed(self.queries, self.candidates, expert_layers())
+        pairs = retrieval.attach_pair_vectors(self.ranked, users, items)
+        return rerank.expert_logits(pairs, layers).drop("user_vector", "item_vector")
 
     @cached_property
     def rating_logits(self):

@@ -46,6 +46,38 @@ def expert_logits(pairs: DataFrame, layers: Sequence[Layer], *, user_vector: str
     return pairs.withColumn(name, forward(F.col(user_vector), F.col(item_vector)))
 
 
+def narrowed(users: DataFrame, items: DataFrame, layers: Sequence[Layer], *,
+             vector: str = "embedding") -> tuple[DataFrame, DataFrame, list[Layer]]:
+    """Users, items and layers of the same network, with the first layer's sums in place of the vectors.
+
+    The first layer is a sum over the user's vector and one over the item's.
+    Each is made once per user and per item, so a pair needs as many numbers of
+    either as that layer has outputs. Vectors that are shorter than that stay.
+    Equal vectors have equal sums.
+    """
+    weights, bias = (np.asarray(x, dtype=np.float64) for x in layers[0])
+    outputs, width = weights.shape
+    if 2 * outputs >= width or len(layers) < 2:
+        return users, items, list(layers)
+
+    def summed(table: DataFrame, of_user: bool) -> DataFrame:
+        @F.arrow_udf("array<double>")
+        def sums(column: pa.Array) -> pa.Array:
+            known = column.drop_null()
+            rows = _rows(known)
+            own = weights[:, :rows.shape[1]] if of_user else weights[:, width - rows.shape[1]:]
+            # row by row, without a blocked product
+            flat = np.einsum("ij,kj->ik", rows, own) if len(known) else np.empty((0, outputs))
+            ends = np.concatenate([[0], np.cumsum(column.is_valid().to_numpy(zero_copy_only=False))]) * outputs
+            return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.reshape(-1)),
+                                            mask=column.is_null() if column.null_count else None)
+
+        return table.withColumn(vector, sums(F.col(vector).cast(vectors.DOUBLES)))
+
+    both = np.hstack([np.eye(outputs), np.eye(outputs)])
+    return summed(users, True), summed(items, False), [(both.tolist(), bias.tolist()), *layers[1:]]
+
+
 def combined_score(base: Column, logit: Column, alpha: float) -> Column:
     """base + alpha * sigmoid(l) * softplus(l)"""
     return base + alpha * scores.sigmoid(logit) * scores.softplus(logit)

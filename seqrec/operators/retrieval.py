@@ -416,9 +416,11 @@ def _best_first(queries: DataFrame, items: DataFrame, bounds: Bounds, k: int, us
     reached = found.groupBy(user).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_least")).filter(F.col("_n") == k)
     armed = asked.withColumnRenamed("_cell", "_met").join(reached.select(user, "_least"), user, "left") \
                  .withColumn("_least", F.coalesce("_least", F.lit(float("-inf"))))
-    more = armed.withColumn("_cell", F.explode(others(wide, F.col("_met"), F.col("_least"))))
+    # written with the list of its bundles, a query is there once
+    more = cut_lineage(armed.withColumn("_cells", others(wide, F.col("_met"), F.col("_least"))))
+    more = more.withColumn("_cell", F.explode("_cells")).drop("_cells")
     bundles = items.withColumn("_cell", F.floor(F.col("_block") / bundle).cast("int"))
-    return found.unionByName(_meet(cut_lineage(more), bundles, k, user, exclude, -(-len(bounds.norm) // bundle), cell_bytes, parallelism, bounds))
+    return found.unionByName(_meet(more, bundles, k, user, exclude, -(-len(bounds.norm) // bundle), cell_bytes, parallelism, bounds))
 
 
 def top_k(queries: DataFrame, items: DataFrame, k: int, *, user: str = "user_id",

@@ -44,6 +44,7 @@ def retrieve(queries: DataFrame, candidates: DataFrame, k: int, *, exclude_histo
                              exclude="history" if exclude_history else None, **options)
     if layers is None:
         return ranked
+    queries, candidates, layers = rerank.narrowed(queries, candidates, layers)
     pairs = retrieval.attach_pair_vectors(ranked, queries, candidates, user=user)
     scored = rerank.expert_logits(pairs, layers).drop("user_vector", "item_vector")
     return rerank.rerank(scored, alpha, user=user)
