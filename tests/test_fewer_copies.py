@@ -75,3 +75,15 @@ def test_held_rows_pass_a_bit_filter(spark, sf_dir):
     with mock.patch.object(clean, "possible_hits", side_effect=clean.possible_hits) as call:
         jobs.job_holdout_on_shared_lookups(spark, sf_dir)
     assert "l_orderkey" in [k for c in call.call_args_list for k in c.args[1]]
+
+
+def test_no_second_key_travels_with_a_drawn_id(spark):
+    from seqrec.operators import features
+
+    events = spark.createDataFrame([(0, 0), (1, None), (2, 1), (3, 99), (4, 1), (5, 2)], "n int, item_id long")
+    table = spark.createDataFrame([(0, [9.0, 9.0]), (1, [1.0, 2.0]), (2, None), (None, [5.0, 5.0])], "item_id long, embedding array<double>")
+    found = features.attach_vectors(events, table, 2, skewed=False)
+    assert found.columns == ["n", "item_id", "embedding"]
+    zeros = [0.0, 0.0]
+    assert [r["embedding"] for r in found.orderBy("n").collect()] == [zeros, zeros, [1.0, 2.0], zeros, [1.0, 2.0], zeros]
+    assert "CASE WHEN" not in _plan(found)
